@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, quality
+from . import bpe, exact_dedup, jaccard, langid, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op2_bpe": bpe.op2_bpe,
+        "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_langid": langid.op7_langid,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
