@@ -297,7 +297,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """(doc_id, ids) of every row."""
     two, first = _ids(docs, id_col, text_col)
     schema = T.StructType([first, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return _map(two, _with_spec(docs.sparkSession, vocabulary), schema, lambda c, texts: [([int(x) for x in ids.split(",") if x],) for ids in c.encode_printed([t or "" for t in texts])])
+    return _map(two, _with_spec(docs.sparkSession, vocabulary), schema, lambda c, texts: [(np.fromstring(ids, np.int32, sep=","),) for ids in c.encode_printed([t or "" for t in texts])])
 
 
 def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_fold, table, text_or_empty
 
@@ -218,11 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ByteNet().fit([np.frombuffer(bytes(r["text"]), dtype=np.uint8) for r in got], np.array([r["quality"] for r in got]))
 
 
-def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """(id, columns to keep, score) of every row."""
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(net.w)
-    source = docs.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).alias("_scored_text"))
+def score(docs: DataFrame, net: ByteNet, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The rows of docs with a column score_col."""
+    weights = docs.sparkSession.sparkContext.broadcast(net.w)
+    names = [c for c in docs.columns if c != score_col]
+    source, at = docs.select(*names), names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteNet()
@@ -230,17 +231,22 @@ def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str =
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                scores = own.score(column_bytes(batch.column(batch.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+                scores = own.score(column_bytes(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, score_col])
 
-    schema = source.drop("_scored_text").schema.add("score", "double")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the classifier doesn't reject."""
+    scored = score(docs, train(docs, labels, id_col, text_col), text_col, "_quality_score")
+    return scored.where(F.col("_quality_score") >= THRESHOLD).drop("_quality_score")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, net).select(
+    return score(docs.select("doc_id", "text"), net).select(
         "doc_id",
         (crc_fold("doc_id", FOLDS) == 0).alias("held_out"),
         "score",

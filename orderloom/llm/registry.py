@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, jaccard, langid, lines, mixing, pii, quality
+from . import ann, bpe, chat, exact_dedup, jaccard, langid, lines, mixing, pii, quality
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_langid": langid.op7_langid,
+        "op8_ann": ann.op8_ann,
         "op9_preferences": chat.op9_preferences,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
