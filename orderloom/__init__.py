@@ -1,0 +1 @@
+"""Futures order-event analytics on Spark DataFrames."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import market
+
+_GROUPS = (market.QUERIES,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for group in _GROUPS for name, (run, _) in group.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for group in _GROUPS for name, (_, sql) in group.items() if sql}
