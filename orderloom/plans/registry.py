@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market
+from . import flow, market
 
-_GROUPS = (market.QUERIES,)
+_GROUPS = (market.QUERIES, flow.QUERIES)
 
 
 def queries() -> dict:
