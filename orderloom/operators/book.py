@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schemas import F_LAST, F_SNAPSHOT, F_TOB, MBP1, NO_PRICE, SCALE
@@ -215,3 +216,16 @@ def orphan_counts(events: DataFrame, repair: bool = False, keys: tuple[str, ...]
         return step
 
     return run_ordered(own, keys, "ord", make, schema).groupBy(*keys).sum("orphan_cancels", "orphan_modifies").toDF(*keys, "orphan_cancels", "orphan_modifies")
+
+
+def consolidated(quotes: DataFrame, publishers: list[int], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Best prices over publishers after each row: the last quote of each, then the best of them, with summed sizes."""
+    by = Window.partitionBy(*keys).orderBy("ts_recv", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    last = {f"_{c}_{p}": F.last(F.when(F.col("publisher_id") == p, F.struct(F.col(f"{c}_px_00").alias("px"), F.col(f"{c}_sz_00").alias("sz"))), ignorenulls=True).over(by) for p in publishers for c in ("bid", "ask")}
+    out = quotes.withColumns(last)
+    for c, best in (("bid", F.greatest), ("ask", F.least)):
+        prices = [F.col(f"_{c}_{p}.px") for p in publishers]
+        out = out.withColumn(f"best_{c}", best(*prices, F.lit(None).cast("double")))
+        size = sum((F.when(F.col(f"_{c}_{p}.px") == F.col(f"best_{c}"), F.col(f"_{c}_{p}.sz")).otherwise(0) for p in publishers), F.lit(0))
+        out = out.withColumn(f"best_{c}_sz", size)
+    return out.drop(*last)

@@ -2,8 +2,8 @@
 
 spark.dataSource.register(OmdSource); spark.read.format("omd").option("kind", "orders").load("dir/*.bin").
 A partition is a stretch of a file: readers begin at the first record header after the stretch's start that several
-further headers confirm, so one large file is read by many tasks. kind: series, orders or trades. Paths are local or
-mounted files, which is what the feed's recorder writes.
+further headers confirm, so one large file is read by many tasks. A zip archive is a partition per member. kind: series,
+orders or trades. Paths are local or mounted files, which is what the feed's recorder writes.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import glob as globbing
 import os
 import struct
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -87,8 +88,10 @@ def series_row(kind: int, body: bytes) -> tuple | None:
 
 
 class Stretch(InputPartition):
-    def __init__(self, path: str, start: int, end: int, priority: int):
-        self.path, self.start, self.end, self.priority = path, start, end, priority
+    """Part of a file, or a whole member of an archive."""
+
+    def __init__(self, path: str, start: int, end: int | None, priority: int, member: str | None = None):
+        self.path, self.start, self.end, self.priority, self.member = path, start, end, priority, member
 
 
 class OmdReader(DataSourceReader):
@@ -100,6 +103,10 @@ class OmdReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out = []
         for priority, path in enumerate(self.paths):
+            if zipfile.is_zipfile(path):
+                with zipfile.ZipFile(path) as archive:
+                    out += [Stretch(path, 0, None, priority, name) for name in sorted(archive.namelist()) if not name.endswith("/")]
+                continue
             size = os.path.getsize(path)
             out += [Stretch(path, a, min(a + self.stretch, size), priority) for a in range(0, max(size, 1), self.stretch)]
         return out
@@ -107,21 +114,26 @@ class OmdReader(DataSourceReader):
     def read(self, partition: Stretch) -> Iterator[tuple]:
         import mmap
 
-        if not os.path.getsize(partition.path):
-            return
-        with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            start = partition.start if not partition.start else first_record(data, partition.start)
-            for sequence, sent, messages in records(data, start, partition.end):
-                for index, kind, body in messages:
-                    if self.kind == "series" and kind in (SERIES, SERIES_EXTENDED):
-                        if (row := series_row(kind, body)) is not None:
-                            yield (*row, kind, partition.priority)
-                    elif self.kind == "orders" and kind in ORDER_TYPES:
-                        if (row := order_row(kind, body)) is not None:
-                            yield (sent, sequence, index, kind, row[0], None, None, *row[1:])
-                    elif self.kind == "trades" and kind == TRADE and (row := trade_row(body)) is not None:
-                        book, order, price, trade, combo, side, deal, condition, info, quantity, when = row
-                        yield (sent, sequence, index, when, book, None, None, order, price, quantity, trade, side, deal, combo, condition, info)
+        if partition.member is not None:
+            with zipfile.ZipFile(partition.path) as archive:
+                yield from self.rows(archive.read(partition.member), 0, None, partition.priority)
+        elif os.path.getsize(partition.path):
+            with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                start = partition.start if not partition.start else first_record(data, partition.start)
+                yield from self.rows(data, start, partition.end, partition.priority)
+
+    def rows(self, data, start: int, end: int | None, priority: int) -> Iterator[tuple]:
+        for sequence, sent, messages in records(data, start, end):
+            for index, kind, body in messages:
+                if self.kind == "series" and kind in (SERIES, SERIES_EXTENDED):
+                    if (row := series_row(kind, body)) is not None:
+                        yield (*row, kind, priority)
+                elif self.kind == "orders" and kind in ORDER_TYPES:
+                    if (row := order_row(kind, body)) is not None:
+                        yield (sent, sequence, index, kind, row[0], None, None, *row[1:])
+                elif self.kind == "trades" and kind == TRADE and (row := trade_row(body)) is not None:
+                    book, order, price, trade, combo, side, deal, condition, info, quantity, when = row
+                    yield (sent, sequence, index, when, book, None, None, order, price, quantity, trade, side, deal, combo, condition, info)
 
 
 def first_record(data, at: int, confirm: int = 4) -> int:
@@ -168,3 +180,13 @@ def resolved(rows: DataFrame, known: DataFrame, classes: list[str] | None = None
 def write_by_class(rows: DataFrame, path: str) -> None:
     """A folder per class; a class without rows has none."""
     rows.repartition("class_code").sortWithinPartitions("seq_num", "msg_index").write.mode("overwrite").partitionBy("class_code").parquet(path)
+
+
+def instruments(definitions: DataFrame) -> DataFrame:
+    """Order books and distinct symbols per class: what a feed holds."""
+    return series(definitions).groupBy("class_code").agg(F.count(F.lit(1)).alias("n_books"), F.count_distinct("symbol").alias("n_symbols"), F.min("symbol").alias("first"), F.max("symbol").alias("last"))
+
+
+def with_printable(trades: DataFrame) -> DataFrame:
+    """Whether a trade counts for public volume: the first bit of its deal type."""
+    return trades.withColumn("is_printable", F.col("deal_type").cast("int").bitwiseAND(1) == 1)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import struct
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,7 +54,12 @@ def test_decode_and_translate(spark, feed):
     split = read("orders", 2000)
     assert split.rdd.getNumPartitions() > 5
     assert split.exceptAll(whole).isEmpty() and whole.exceptAll(split).isEmpty()
+    with zipfile.ZipFile(feed + ".zip", "w") as archive:
+        archive.write(feed, "channel.bin")
+    assert spark.read.format("omd").option("kind", "orders").load(feed + ".zip").exceptAll(whole).isEmpty()
+    assert omd.instruments(read("series", 1 << 20)).collect()[0]["class_code"] == "HSI"
     orders, trades = (omd.resolved(read(k, 1 << 20), known) for k in ("orders", "trades"))
+    assert omd.with_printable(trades).first()["is_printable"]
     assert trades.select("quantity", "trade_id", "trade_time_ns").collect()[0] == (4, 55, SENT)
     events = normalize.hkex_translate(orders, trades, 2026).orderBy("seq_num", "msg_index", "sub_ord").collect()
     assert [(e.action, e.side, e.price, e.size) for e in events[:5]] == [

@@ -122,3 +122,10 @@ def test_modify_from_neighbours(spark):
     df = df.withColumn("sequence", F.when(F.col("ord") >= 5, 99).otherwise(F.col("sequence")).cast("long"))
     got = [(r.ord, r.action) for r in normalize.reconstitute_modifies(df).orderBy("ord").collect()]
     assert got == [(1, "MODIFY"), (2, "CANCEL"), (3, "NONE"), (4, "ADD"), (5, "CANCEL"), (6, "ADD"), (7, "FILL")]
+
+
+def test_consolidated(spark):
+    rows = [(1, 10.0, 5, 12.0, 1), (2, 11.0, 2, 12.0, 3), (1, 9.0, 1, 13.0, 1)]
+    df = spark.createDataFrame([("X", DAY, k, k, *r) for k, r in enumerate(rows)], "contract string, session_date date, ord long, ts_recv long, publisher_id int, bid_px_00 double, bid_sz_00 long, ask_px_00 double, ask_sz_00 long")
+    got = book.consolidated(df, [1, 2]).orderBy("ord").select("best_bid", "best_bid_sz", "best_ask", "best_ask_sz").collect()
+    assert [tuple(r) for r in got] == [(10, 5, 12, 1), (11, 2, 12, 4), (11, 2, 12, 3)]
