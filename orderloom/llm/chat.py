@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: Turn numbers of one piece.
+#: Turn numbers of one piece, a power of two.
 PIECE = 64
 OPEN, MIDDLE, CLOSE, ANSWERS = "<|im_start|>", "\n", "<|im_end|>\n", "assistant"
 
@@ -29,7 +29,7 @@ OPEN, MIDDLE, CLOSE, ANSWERS = "<|im_start|>", "\n", "<|im_end|>\n", "assistant"
 def neighbours(conversations: DataFrame) -> DataFrame:
     """(conv_id, pair_id, side): an even id is chosen over the odd id that follows."""
     ids = conversations.where("conv_id is not null").select("conv_id").distinct()
-    return ids.select("conv_id", F.floor(F.col("conv_id") / 2).alias("pair_id"), F.pmod("conv_id", F.lit(2)).cast("int").alias("side"))
+    return ids.select("conv_id", F.shiftright("conv_id", 1).alias("pair_id"), F.pmod("conv_id", F.lit(2)).cast("int").alias("side"))
 
 
 def _slots(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     slots = staged(_slots(conversations, pairs), "slots")
     body = lambda c: F.col(f"{c}.body")
     ends = staged(slots.groupBy("pair_id").agg(F.min(F.when(~body("chosen").eqNullSafe(body("rejected")), F.col("turn"))).alias("first")), "ends")
-    placed = slots.join(ends, "pair_id").withColumn("piece", F.floor(F.col("turn") / PIECE))
+    placed = slots.join(ends, "pair_id").withColumn("piece", F.shiftright("turn", PIECE.bit_length() - 1))
     common = F.col("first").isNull() | (F.col("turn") < F.col("first"))
     rows = placed.groupBy("pair_id", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", common.alias("common"), "chosen", "rejected"))).alias("turns"))
     shared = F.filter("turns", lambda t: t.common)
