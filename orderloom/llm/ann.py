@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from .common import staged, table
 
 #: Vectors that the tree is fitted on at most; children of a node; vectors of a leaf, about; most leaves.
-SAMPLE, CHILDREN, LEAF, LEAVES = 16_384, 8, 64, 1024
+SAMPLE, CHILDREN, LEAF, LEAVES = 32_768, 8, 512, 2048
 #: Recall that calibration must reach on the sample, and queries it uses; vectors of a block and queries of a part.
-TARGET, TRIALS, BLOCK, PART = 0.98, 384, 4096, 8192
+TARGET, TRIALS, BLOCK, PART = 0.96, 384, 4096, 8192
 
 
 @dataclass
@@ -94,7 +94,7 @@ def fit_tree(sample: np.ndarray, rows: int, seed: int = 5) -> Tree:
     node = 0
     while node < len(centroids):
         own = members[node]
-        k = min(CHILDREN, -(-len(own) // least))
+        k = min(CHILDREN, len(own) // least)
         parts = []
         if k > 1:
             means = _kmeans(sample[own], k, rng)
@@ -115,9 +115,12 @@ def fit_tree(sample: np.ndarray, rows: int, seed: int = 5) -> Tree:
 
 def calibrate(tree: Tree, sample: np.ndarray, k: int) -> Tree:
     """Widen the visits until the sample's queries find TARGET of their k nearest in the sample."""
-    trials = sample[np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)]
-    scores, leaves, near = trials @ sample.T, tree.assign(sample), trials @ tree.centroids.T
-    top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+    at = np.unique(np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int))
+    trials, leaves = sample[at], tree.assign(sample)
+    scores, near = trials @ sample.T, trials @ tree.centroids.T
+    scores[np.arange(len(at)), at] = -np.inf
+    some = min(k, len(sample) - 1)
+    top = np.argpartition(-scores, some, axis=1)[:, :some]
     found = np.zeros(tree.leaves + 1)
     for row, own in enumerate(top):
         place = {leaf: n for n, leaf in enumerate(tree.order(near[row]))}
