@@ -81,7 +81,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.where(F.col("lang").isNotNull() & (crc_fold("doc_id", FOLDS) != HELD)).withColumn("order", F.xxhash64("doc_id"))
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    some = rows.join(F.broadcast(common.select("lang")), "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE)
+    # Ids under a share of the hashes, about four samples of each language, are ranked; so few rows of it meet however many it has.
+    share = F.ceil(F.lit(4.0 * SAMPLE * (1 << 30)) / F.col("count"))
+    few = rows.join(F.broadcast(common), "lang").where(F.pmod("order", F.lit(1 << 30)) < share)
+    some = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
     chosen = texts.join(F.broadcast(some.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
