@@ -1,4 +1,4 @@
-"""Every market query that has SQL gives the rows that the SQL gives on the smallest tables."""
+"""Every market query that has SQL gives the rows that the SQL gives on small tables."""
 
 import math
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from orderloom.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 SQL = registry.oracle_sql()
 
 
