@@ -11,9 +11,10 @@ order; their prefixes under the others must meet, too, before their sets are com
    those of two or more. Counts are over all documents. Per document, the tokens that came back are all that an
    intersection can hold.
 2. Documents of equal sets are one class from here on.
-3. In each prefix token's group every class is checked against the smallest id; components of these links follow.
-   Only where a group still holds several components, members outside its largest one are checked against members of
-   other components. Links inside a component can't change it, so none is lost and no group's pairs are listed.
+3. In each prefix token's group every class is checked against a few leaders, and components of the links follow; this
+   is done in two rounds. Only where a group still holds several components, members outside its largest one are checked
+   against members of other components. Links inside a component can't change it, so none is lost and no group's pairs
+   are listed.
 
 Tokens are 48 bits beside those of the range. Groups of equal or similar texts of any size cost work in proportion to
 their rows.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ from .quality import column_bytes
 SHINGLE, PERCENT = 5, 80
 #: Bytes hashed at once, tokens and documents packed together, token ranges for each input partition.
 TILE, GROUP_TOKENS, GROUP_DOCS, RANGES = 1 << 21, 1 << 21, 60_000, 8
+#: Leaders that a class is checked against in a round, and rounds, before what is left is checked in full.
+LEADERS, ROUNDS = 4, 2
 LOW = np.uint64((1 << 48) - 1)
 
 _RNG = np.random.default_rng(20240229)
@@ -167,12 +171,12 @@ def _table(rows: list[tuple]) -> pa.Table:
 def _tokens_of(bits: int):
     """Texts to packed tokens by range, and one row with the documents themselves for each group of documents."""
 
-    def pack(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(ids: list, sets: list[np.ndarray], place: bytes) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
         digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
         known = np.array([i for i in ids if i is not None], dtype="<i8")
         nulls = np.array([i is None for i in ids])
-        part = int.from_bytes(hashlib.blake2b(digests + known.tobytes() + nulls.tobytes(), digest_size=8).digest(), "little", signed=True)
+        part = int.from_bytes(hashlib.blake2b(place + digests, digest_size=8).digest(), "little", signed=True)
         all_ids = np.zeros(len(ids), "<i8")
         all_ids[~nulls] = known
         rows = [(part % (1 << bits), part, True, all_ids.tobytes() + nulls.astype(np.uint8).tobytes(), sizes.astype("<u4").tobytes(), digests)]
@@ -188,7 +192,7 @@ def _tokens_of(bits: int):
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        ids, sets, held, packs, task = [], [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = column_bytes(batch.column(1))
             own, start = batch.column(0).to_pylist(), 0
@@ -199,10 +203,10 @@ def _tokens_of(bits: int):
                 held += sum(map(len, new))
                 start = end
                 if held >= GROUP_TOKENS or len(ids) >= GROUP_DOCS:
-                    yield pack(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield pack(ids, sets, f"{task}:{packs}:".encode())
+                    ids, sets, held, packs = [], [], 0, packs + 1
         if ids:
-            yield pack(ids, sets)
+            yield pack(ids, sets, f"{task}:{packs}:".encode())
 
     return run
 
@@ -301,28 +305,75 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.where(100 * F.col("common") >= PERCENT * (F.col("u_n") + F.col("v_n") - F.col("common"))).select("u", "v")
 
 
+def _could(a: str, b: str) -> Column:
+    """Whether sizes, and the tokens that others have at all, allow the similarity; a and b name structs' prefixes."""
+    common = F.least(f"{a}m", f"{b}m")
+    return _fit(f"{a}n", f"{b}n") & (100 * common >= PERCENT * (F.col(f"{a}n") + F.col(f"{b}n") - common))
+
+
+def _mixed(at: DataFrame) -> DataFrame:
+    """The entries of tokens that several components have."""
+    groups = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return at.join(groups.select("token"), "token")
+
+
+def _stars(at: DataFrame, seeds: range) -> DataFrame:
+    """Candidate pairs (u, v, u_root, v_root): for each seed, one for a class at most.
+
+    Every token's group has a leader for each seed; a class takes the first of its tokens' leaders that is in another
+    component. Similar texts so meet the same few leaders, whatever their number. Leaders are first by a hash, for every
+    second seed among those with fewest tokens of their own: of edited copies, that is the one they were made from, which
+    is similar to all of them even where they aren't to each other."""
+    own_tokens = lambda k: (F.col("n") - F.col("m")) if k % 2 == 0 else F.lit(0).cast("long")
+    lead = {k: F.min(F.struct(own_tokens(k).alias("own"), F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "n", "m", "root")).alias(f"l{k}") for k in seeds}
+    leaders = at.groupBy("token").agg(*lead.values())
+    near = at.join(leaders, "token")
+    pick = [F.min(F.when((F.col(f"l{k}.root") != F.col("root")) & _could("", f"l{k}."), F.col(f"l{k}"))).alias(f"l{k}") for k in seeds]
+    own = near.groupBy("doc_id", "root").agg(*pick)
+    pairs = own.select("doc_id", "root", F.explode(F.array(*(f"l{k}" for k in seeds))).alias("l")).where("l is not null")
+    return pairs.select(F.col("l.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("l.root").alias("u_root"), F.col("root").alias("v_root")).distinct()
+
+
+def _merged(found: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """found, with the components of those candidate pairs put together that are links."""
+    pairs = staged(pairs, "pairs")
+    links = staged(_linked(pairs.select("u", "v"), classes).join(pairs, ["u", "v"]).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct(), "links")
+    if links.isEmpty():
+        return found
+    roots = components(links)
+    moved = found.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return staged(moved.unionByName(roots), "found")
+
+
 def linked_components(sets: DataFrame) -> DataFrame:
     """(node, root) of all documents that aren't the smallest of their component."""
     able = sets.where("tokens is not null")
-    classes = able.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    equal = able.select("doc_id", "digest").join(classes, "digest").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    one = staged(able.join(classes.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("first")) & (F.col("digest") == F.col("own"))).drop("own", "first"), "classes")
-    entries = one.select(F.explode("p1").alias("token"), "doc_id", "n")
-    leaders = entries.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    entries = staged(entries.join(leaders, "token"), "entries")
-    stars = entries.where((F.col("doc_id") != F.col("first.doc_id")) & _fit("n", "first.n")).select(F.col("first.doc_id").alias("u"), F.col("doc_id").alias("v"))
-    links = staged(equal.unionByName(_linked(staged(stars.distinct(), "stars"), one)), "links")
-    found = components(links)
-    at = entries.select("token", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    at = staged(at, "rooted")
-    by = at.groupBy("token", "root").agg(F.count(F.lit(1)).alias("here"))
-    mixed = by.groupBy("token").agg(F.max(F.struct("here", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = at.join(mixed.select("token", F.col("most.root").alias("main")), "token")
-    others = mixed.where("root <> main").select("token", F.col("doc_id").alias("o_id"), F.col("n").alias("o_n"), F.col("root").alias("o_root"))
-    rest = others.join(mixed, "token").where((F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("main")) | (F.col("doc_id") < F.col("o_id"))) & _fit("n", "o_n"))
-    rest = staged(rest.select(F.least("doc_id", "o_id").alias("u"), F.greatest("doc_id", "o_id").alias("v")).distinct(), "rest")
-    late = staged(_linked(rest, one), "late")
-    return components(links.unionByName(late)) if late.count() else found
+    same = able.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    equal = able.select("doc_id", "digest").join(same, "digest").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    found = components(equal)
+    classes = able.join(same.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("first")) & (F.col("digest") == F.col("own"))).drop("own", "first")
+    classes = staged(classes, "classes")
+    entries = classes.select(F.explode("p1").alias("token"), "doc_id", "n", F.size("tokens").cast("long").alias("m"))
+    many = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+    entries = staged(entries.join(many, "token"), "entries")
+
+    def rooted() -> DataFrame:
+        at = entries.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        return staged(_mixed(at), "mixed")
+
+    for start in range(0, LEADERS * ROUNDS, LEADERS):
+        found = _merged(found, _stars(rooted(), range(start, start + LEADERS)), classes)
+    mixed = rooted()
+    by = mixed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("here")).groupBy("token").agg(F.max(F.struct("here", "root")).alias("most"))
+    mixed = mixed.join(by.select("token", F.col("most.root").alias("main")), "token")
+    others = mixed.where("root <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in ("doc_id", "n", "m", "root")))
+    rest = others.join(mixed, "token").where((F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("main")) | (F.col("doc_id") < F.col("o_doc_id"))) & _could("", "o_"))
+    flip = F.col("doc_id") < F.col("o_doc_id")
+    either = lambda a, b: F.when(flip, F.col(a)).otherwise(F.col(b))
+    rest = rest.select(
+        either("doc_id", "o_doc_id").alias("u"), either("o_doc_id", "doc_id").alias("v"), either("root", "o_root").alias("u_root"), either("o_root", "root").alias("v_root")
+    )
+    return _merged(found, rest.distinct(), classes)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +387,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs without those of a component's other members than its smallest id."""
     gone = staged(near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     gone = broadcast_if(gone, gone.count(), 1_000_000)
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

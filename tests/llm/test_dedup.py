@@ -109,6 +109,7 @@ def test_jaccard_odd_rows(spark):
     got = jaccard.near_duplicates(docs).collect()
     assert len(got) == docs.count() and {r.doc_id: r.component_id for r in got}[8] == 7
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+    assert jaccard.near_duplicates(docs.union(docs)).count() == 2 * docs.count()
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 8").isEmpty() and kept.where("doc_id is null").count() == 1
 
