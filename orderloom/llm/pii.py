@@ -32,7 +32,7 @@ KINDS = {
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]*[0-9])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 PATTERN = r"(?<![A-Za-z0-9_.@+-])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
@@ -114,14 +114,11 @@ def card(m: Column) -> Column:
 
 
 def phone(m: Column) -> Column:
-    """Ten digits of the North American plan after the country code."""
-    def change(d: Column) -> Column:
-        x = (_number(F.substr(d, F.lit(1), F.lit(3))) - 200) * 8_000_000 + _number(F.substr(d, F.lit(4), F.lit(7))) - 2_000_000
-        return _let(feistel(x, 800, 8_000_000, "phone"), lambda y: F.concat((200 + F.floor(y / 8_000_000)).cast("string"), (2_000_000 + y % 8_000_000).cast("string")))
-
+    """Any ten digits after the country code."""
     def split(d: Column) -> Column:
         country = F.substr(d, F.lit(1), F.length(d) - 10)
-        return _let(F.concat(country, change(F.right(d, F.lit(10)))), lambda new: _put(m, new))
+        change = _padded(feistel(_number(F.right(d, F.lit(10))), 100_000, 100_000, "phone"), 10)
+        return _let(F.concat(country, change), lambda new: _put(m, new))
 
     return _let(_digits(m), split)
 
@@ -141,13 +138,13 @@ def ssn(m: Column) -> Column:
 
 
 def ip(m: Column) -> Column:
-    """Unicast addresses with octets up to 255; else unchanged."""
+    """Addresses with octets up to 255; else unchanged."""
     def change(o: Column) -> Column:
         octet = lambda k: _number(o[k])
-        valid = octet(0).between(1, 223) & (octet(1) <= 255) & (octet(2) <= 255) & (octet(3) <= 255)
-        x = ((octet(0) - 1) * 256 + octet(1)) * 65536 + octet(2) * 256 + octet(3)
-        show = lambda y: F.concat_ws(".", (F.floor(y / 16777216) + 1).cast("string"), *((F.floor(y / d) % 256).cast("string") for d in (65536, 256, 1)))
-        return F.when(valid, _let(feistel(x, 223 * 256, 65536, "ip"), show)).otherwise(m)
+        valid = (octet(0) <= 255) & (octet(1) <= 255) & (octet(2) <= 255) & (octet(3) <= 255)
+        x = (octet(0) * 256 + octet(1)) * 65536 + octet(2) * 256 + octet(3)
+        show = lambda y: F.concat_ws(".", *((F.floor(y / d) % 256).cast("string") for d in (16777216, 65536, 256, 1)))
+        return F.when(valid, _let(feistel(x, 65536, 65536, "ip"), show)).otherwise(m)
 
     return _let(F.split(m, r"\."), change)
 

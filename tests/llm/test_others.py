@@ -30,6 +30,22 @@ def test_pseudonyms(spark):
     assert "AKIAMD62" not in out[7].text and "e3b3ed" not in out[7].text and out[7].text.startswith("AKIA")
 
 
+def test_pseudonyms_of_every_address_and_phone(spark):
+    ips = ["230.92.119.79", "235.58.234.215", "228.108.243.108", "0.0.0.0", "0.1.2.3", "255.255.255.255", "27.109.211.155"]
+    phones = ["+1 (045) 555-3286", "+1 (124) 555-4766", "+1 (000) 000-0000", "+1 (999) 999-9999", "045-555-3286", "124.555.4766", "(319) 155-5132"]
+    kept = ["256.1.1.1", "1.1.1.256", "1.2.3", "045-555-328"]
+    out = {r.doc_id: r for r in pii.pseudonymise(documents(spark, *(f"at {t}, then {t}" for t in ips + phones + kept))).collect()}
+    new = [out[k].text[3:].split(", then ") for k in range(len(out))]
+    n = len(ips + phones)
+    assert [out[k]["_replaced"] for k in range(len(out))] == [2] * n + [0] * len(kept) and all(a == b for a, b in new)
+    assert [a for a, _ in new[n:]] == kept and all(a != t for (a, _), t in zip(new, ips + phones))
+    assert len({a for a, _ in new[: len(ips)]}) == len(ips) and all(int(o) <= 255 for a, _ in new[: len(ips)] for o in a.split("."))
+    shape = lambda t: "".join("0" if c.isdigit() else c for c in t)
+    assert [shape(a) for a, _ in new[len(ips) : n]] == [shape(t) for t in phones] and all(a.startswith("+1 (") for a, _ in new[len(ips) : len(ips) + 4])
+    digits = lambda t: "".join(c for c in t if c.isdigit())[-10:]
+    assert digits(new[len(ips)][0]) == digits(new[len(ips) + 4][0]) and digits(new[len(ips) + 1][0]) == digits(new[len(ips) + 5][0])
+
+
 @pytest.mark.parametrize("u, v", [(10, 12), (7, 100), (1, 13)])
 def test_feistel_is_a_permutation(spark, u, v):
     rows = spark.range(u * v).select(pii.feistel(F.col("id"), u, v, "t").alias("y"), pii.feistel(F.col("id"), u, v, "t", "other").alias("z")).collect()
