@@ -93,9 +93,8 @@ def _copies(df):
 COPIES = "co AS (SELECT * REPLACE (ts_event - ts_event % 36000000000000 AS ts_event, 0 AS sequence) FROM mbo)"
 
 
-def _adds(s, d):
+def _adds(m):
     """Events whose cancels always meet their own order at its price: the add of each id, then its cancel, with other ids between."""
-    m = mbo(s, d).where("ord < 600")
     return m.select(
         F.lit("X").alias("contract"), F.lit("2024-01-01").cast("date").alias("session_date"), "ord", "ts_event", "ts_recv", F.expr("CASE WHEN ord % 4 = 3 THEN 'CANCEL' ELSE 'ADD' END").alias("action"),
         F.expr("CASE WHEN (ord - CASE WHEN ord % 4 = 3 THEN 3 ELSE 0 END) % 8 < 4 THEN 'BID' ELSE 'ASK' END").alias("side"),
@@ -104,12 +103,27 @@ def _adds(s, d):
     )
 
 
+def _keyed_adds(s, d):
+    """All events so, fours of them dealt to five contracts, and 20,000 at most to a day."""
+    return _adds(mbo(s, d)).withColumns({"contract": F.expr(f"concat('X', {CONTRACT_OF})"), "session_date": F.expr(f"date_add(DATE'2024-01-01', CAST({DAY_OF} AS INT))")})
+
+
+CONTRACT_OF, DAY_OF = "CAST((ord - ord % 4) / 4 AS BIGINT) % 5", "CAST((ord - ord % 20000) / 20000 AS BIGINT)"
 _BASE = "(ord - CASE WHEN ord % 4 = 3 THEN 3 ELSE 0 END)"
 BOOK = f"""ev AS (SELECT DATE '2024-01-01' AS session_date, ord, CASE WHEN ord % 4 = 3 THEN -1 ELSE 1 END * (1 + {_BASE} % 5) AS delta, CASE WHEN {_BASE} % 8 < 4 THEN 'BID' ELSE 'ASK' END AS side,
   CASE WHEN {_BASE} % 8 < 4 THEN 5990 ELSE 6010 END * 1000000000::BIGINT + ({_BASE} % 7) * 250000000 AS price FROM mbo WHERE ord < 600),
 ts AS (SELECT e.session_date, e.ord, l.side, l.price, sum(l.delta) AS size FROM ev e JOIN ev l ON l.session_date = e.session_date AND l.ord <= e.ord GROUP BY ALL HAVING sum(l.delta) > 0)
 SELECT e.ord, max(t.price) FILTER (t.side = 'BID') / 1e9::DOUBLE AS bid_px_00, min(t.price) FILTER (t.side = 'ASK') / 1e9::DOUBLE AS ask_px_00,
   (arg_max(t.size, t.price) FILTER (t.side = 'BID'))::BIGINT AS bid_sz_00, (arg_min(t.size, t.price) FILTER (t.side = 'ASK'))::BIGINT AS ask_sz_00 FROM ev e LEFT JOIN ts t ON t.session_date = e.session_date AND t.ord = e.ord GROUP BY e.ord"""
+#: The running size of each side's seven prices: one pass over the events of a contract and day.
+LEVELS = {f"{s[0].lower()}{k}": (s, p * 1_000_000_000 + k * 250_000_000) for s, p in (("BID", 5990), ("ASK", 6010)) for k in range(7)}
+RUNNING = f"""ev AS (SELECT ord, {CONTRACT_OF} AS contract, {DAY_OF} AS session_date, CASE WHEN ord % 4 = 3 THEN -1 ELSE 1 END * (1 + {_BASE} % 5) AS delta, CASE WHEN {_BASE} % 8 < 4 THEN 'BID' ELSE 'ASK' END AS side,
+  CASE WHEN {_BASE} % 8 < 4 THEN 5990 ELSE 6010 END * 1000000000::BIGINT + ({_BASE} % 7) * 250000000 AS price FROM mbo),
+rs AS (SELECT ord, {", ".join(f"sum(CASE WHEN side = '{s}' AND price = {p} THEN delta ELSE 0 END) OVER w AS {n}" for n, (s, p) in LEVELS.items())} FROM ev WINDOW w AS (PARTITION BY contract, session_date ORDER BY ord))
+SELECT ord, """ + ", ".join(
+    f"(CASE {' '.join(f'WHEN {n} > 0 THEN {LEVELS[n][1]}' for n in names)} END / 1e9::DOUBLE) AS {c}_px_00, (CASE {' '.join(f'WHEN {n} > 0 THEN {n}' for n in names)} END)::BIGINT AS {c}_sz_00"
+    for c, names in (("bid", [f"b{k}" for k in range(6, -1, -1)]), ("ask", [f"a{k}" for k in range(7)]))
+) + " FROM rs"
 
 ORDERED = "PARTITION BY contract, session_date ORDER BY ts_recv, sequence, CASE action WHEN 'TRADE' THEN 0 ELSE 1 END, ord"
 NULLED = "nq AS (SELECT * REPLACE (CASE WHEN ord % 19 = 0 THEN NULL ELSE bid_px_00 END AS bid_px_00, CASE WHEN ord % 23 = 0 THEN NULL ELSE ask_px_00 END AS ask_px_00) FROM mbp1)"
@@ -213,7 +227,8 @@ QUERIES = {
         lambda s, d: validate.split(_dirty(s, d).withColumn("reject_reason", validate.structural_reason()), "LOOSE")[0].select("ord", F.col("flags").cast("long").alias("flags")),
         f"{SQL}, {DIRTY} SELECT ord, CASE WHEN reject_reason IS NULL THEN flags ELSE flags | 4 END::BIGINT AS flags FROM vr",
     ),
-    "mbp1_rebuild_small": (lambda s, d: book.reconstruct(_adds(s, d)).select("ord", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"), f"{SQL}, {BOOK}"),
+    "mbp1_rebuild_small": (lambda s, d: book.reconstruct(_adds(mbo(s, d).where("ord < 600"))).select("ord", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"), f"{SQL}, {BOOK}"),
+    "mbp1_rebuild_adds": (lambda s, d: book.reconstruct(_keyed_adds(s, d)).select("ord", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"), f"{SQL}, {RUNNING}"),
     "mbp1_rebuild": (lambda s, d: book.reconstruct(mbo(s, d)), None),
     "depth_rebuild": (lambda s, d: book.reconstruct(mbo(s, d), depth=5, repair=True), None),
     "orphan_counts": (lambda s, d: book.orphan_counts(mbo(s, d)), None),

@@ -41,3 +41,10 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_others_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_compared_replay_takes_every_event(spark, con):
+    ords = [r[0] for r in con.execute("SELECT event_id FROM events ORDER BY 1").fetchall()]
+    longest = max((n for n in SQL if n.startswith("mbp1_rebuild")), key=lambda n: registry.queries()[n](spark, SF).count())
+    assert [r.ord for r in registry.queries()[longest](spark, SF).orderBy("ord").collect()] == ords and len(ords) > 600
