@@ -135,3 +135,11 @@ def test_equals_sql(spark, name):
     cur = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in cur.description]
     assert got == sorted(tuple(plain(dict(zip(names, r))[c]) for c in sorted(names)) for r in cur.fetchall())
+
+
+def test_lines_equal_sql_where_lines_are_dropped(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.1/pages.parquet'")
+    got = sorted((r.page_id, r.host, r.n_lines, r.n_dropped, r.text) for r in registry.queries()["op4_line_dedup"](spark, "/root/testdata/sf0.1").collect())
+    want = con.execute(f"SELECT page_id, host, n_lines, n_dropped, text FROM ({registry.oracle_sql()['op4_line_dedup']})").fetchall()
+    assert got == sorted(want) and sum(r[3] for r in got) > 0
