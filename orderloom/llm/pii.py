@@ -4,7 +4,8 @@ Numbers and dates are found by pattern, validated, and replaced by a keyed Feist
 kind: card numbers keep their length, first digit, separators and a right check digit; phone numbers, social security
 numbers, IPv4 addresses and dates stay valid ones of their format; IBANs keep country and letters and get a right
 checksum. The permutation depends on the key and the value alone, so equal values stay linked across documents, and
-different values of a kind stay different. Numbers that aren't valid of their kind stay as they are. Mail addresses
+different values of a kind stay different. Numbers that aren't valid of their kind stay as they are; cards and IBANs are
+sought from every group of a run of groups on, so numbers or words beside a valid one don't hide it. Mail addresses
 keep their domain and secrets their prefix; their characters are replaced by keyed ones of the same class.
 
 A text is split at the matches and put together again with their pseudonyms; texts that can't hold a match are passed
@@ -35,7 +36,9 @@ KINDS = {
     "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-PATTERN = r"(?<![A-Za-z0-9_.@+-])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+START = r"(?<![A-Za-z0-9_.@+-])"
+#: Groups that cards and IBANs are sought in, and how many of them one has at most.
+RUNS = {"iban": (START + r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{8,}", " ", 9), "card": (START + r"[0-9][0-9 -]{11,}[0-9]", "[ -]", 19)}
 #: A text without this holds no match.
 MAYBE = r"[0-9]|@|(?i:password|passwd|pwd|secret|token|api_?key)"
 #: Days from EPOCH that dates are permuted among; countries' digits in IBAN sums run from A = 10.
@@ -101,6 +104,39 @@ def _ten(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
+def _valid_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & ~d.rlike("^0+$") & (luhn_sum(d) % 10 == 0)
+
+
+def _valid_iban(s: Column) -> Column:
+    return s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}$") & (F.length(_digits(F.substr(s, F.lit(5), F.length(s)))) >= 4) & (_mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1)
+
+
+def _valid_parts(text: Column, kind: str, valid: Callable[[Column], Column]) -> Column:
+    """A pattern of the valid numbers that begin and end at groups of the text's runs, for each first group the longest."""
+    run, between, most = RUNS[kind]
+
+    def longest(groups: Column, i: Column) -> Column:
+        parts = F.transform(F.sequence(F.least(F.lit(most), F.size(groups) - i + 1), F.lit(1), F.lit(-1)), lambda n: F.slice(groups, i, n))
+        return F.get(F.filter(parts, lambda x: ~F.array_contains(x, "") & valid(F.array_join(x, ""))), F.lit(0))
+
+    def of_run(r: Column) -> Column:
+        return _let(F.split(r, between), lambda groups: F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.array_join(longest(groups, i), between)))
+
+    found = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), of_run)))
+    by_length = F.transform(F.array_sort(F.transform(F.array_compact(found), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x.x)
+    return F.coalesce(F.nullif(F.array_join(by_length, "|"), F.lit("")), F.lit("(?!)"))
+
+
+def pattern_of(text: Column) -> Column:
+    """What is to be found in a text: all kinds by their patterns, but of IBANs and cards the valid ones that it holds."""
+    plain = lambda *kinds: "|".join(f"(?:{KINDS[k]})" for k in kinds)
+    return F.concat(
+        F.lit(f"{START}(?:{plain('mail', 'secret')}|(?:"), _valid_parts(text, "iban", _valid_iban), F.lit(f")(?![A-Za-z0-9])|{plain('ip', 'date', 'ssn', 'phone')})|(?<![A-Za-z0-9_.@+])(?:"),
+        _valid_parts(text, "card", _valid_card), F.lit(")(?![0-9])"),
+    )
+
+
 def card(m: Column) -> Column:
     """Valid by Luhn, else unchanged."""
     def change(d: Column) -> Column:
@@ -239,14 +275,14 @@ def pseudonym(m: Column) -> Column:
 def pseudonymise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs with pseudonyms in the text, and _replaced, how many."""
     text = F.col(text_col)
-    found = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    marked = docs.withColumn("_found", found)
+    marked = docs.withColumn("_pattern", F.when(text.rlike(MAYBE), pattern_of(text)))
+    marked = marked.withColumn("_found", F.regexp_extract_all(text, F.col("_pattern"), F.lit(0)))
     marked = marked.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m))))
-    gaps = F.split(text, PATTERN, -1)
+    gaps = F.split(text, F.col("_pattern"), -1)
     joined = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda p: p["_found"] != p["_new"]))
     out = marked.withColumn("_replaced", F.when(F.col("_new").isNull(), 0).otherwise(changed).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_new").isNull(), text).otherwise(joined)).drop("_found", "_new")
+    return out.withColumn(text_col, F.when(F.col("_new").isNull(), text).otherwise(joined)).drop("_pattern", "_found", "_new")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

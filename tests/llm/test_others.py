@@ -46,6 +46,19 @@ def test_pseudonyms_of_every_address_and_phone(spark):
     assert digits(new[len(ips)][0]) == digits(new[len(ips) + 4][0]) and digits(new[len(ips) + 1][0]) == digits(new[len(ips) + 5][0])
 
 
+def test_pseudonyms_beside_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    beside = ["%s 12/25", "qty 2 %s", "1234 %s 1234", "%s 555-123-4567 call", "12-%s", "%s, %s"]
+    texts = [t.replace("%s", card) for t in beside] + [t.replace("%s", iban) for t in ("%s EUR", "%s PAID", "AB12 %s NOW")] + ["4111 1111 1111 1112 12/25", "ES91 2100 0418 4502 0005 1333 EUR", "4111  1111 1111 1111"]
+    out = {r.doc_id: r for r in pii.pseudonymise(documents(spark, *texts, "4111111111111111", iban)).collect()}
+    n = len(beside)
+    new_card, new_iban = out[len(texts)].text, out[len(texts) + 1].text
+    assert [out[k]["_replaced"] for k in range(len(texts))] == [1, 1, 1, 2, 1, 2, 1, 1, 1, 0, 0, 0]
+    assert all(card not in out[k].text and new_card in out[k].text.replace(" ", "") for k in range(n)) and all(iban not in out[k].text and new_iban in out[k].text for k in range(n, n + 3))
+    assert out[0].text.endswith(" 12/25") and out[1].text.startswith("qty 2 ") and "555-123-4567" not in out[3].text and out[7].text.endswith(" PAID")
+    assert [out[k].text for k in range(n + 3, len(texts))] == texts[n + 3 :]
+
+
 @pytest.mark.parametrize("u, v", [(10, 12), (7, 100), (1, 13)])
 def test_feistel_is_a_permutation(spark, u, v):
     rows = spark.range(u * v).select(pii.feistel(F.col("id"), u, v, "t").alias("y"), pii.feistel(F.col("id"), u, v, "t", "other").alias("z")).collect()
