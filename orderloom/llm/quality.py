@@ -196,14 +196,20 @@ def column_bytes(column: pa.Array) -> list[np.ndarray]:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, order, text) with texts cut to evenly spread stretches of bytes."""
+    """(label_id, quality, order, hash, text) with one row for each id, that of least hash, and texts cut to evenly spread stretches of bytes."""
+    best: dict[str, tuple] = {}
     for batch in batches:
-        texts = []
-        for d in column_bytes(batch.column(2)):
+        ids, labels, orders, hashes = (batch.column(k).to_pylist() for k in range(4))
+        for i, label, order, h, d in zip(ids, labels, orders, hashes, column_bytes(batch.column(4))):
+            if i in best and h > best[i][2]:
+                continue
             n = segments(len(d))
             pick = range(n) if n <= TRAIN_SEGMENTS else sorted({round(i * (n - 1) / (TRAIN_SEGMENTS - 1)) for i in range(TRAIN_SEGMENTS)})
-            texts.append(b"".join(d[k * SEGMENT_BYTES : (k + 1) * SEGMENT_BYTES].tobytes() for k in pick))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["quality", "order", "text"])
+            row = (label, order, h, b"".join(d[k * SEGMENT_BYTES : (k + 1) * SEGMENT_BYTES].tobytes() for k in pick))
+            best[i] = min(best.get(i, row), row)
+    columns = [[i, *r] for i, r in best.items()]
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in columns], t) for k, t in enumerate(types)], ["label_id", "quality", "order", "hash", "text"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNet:
@@ -213,8 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("label_id").agg(F.min("quality").alias("quality")).withColumn("order", F.xxhash64("label_id"))
     some = [known.where(F.col("quality") == q).orderBy("order", "label_id").limit(SAMPLE) for q in (0, 1)]
     texts = docs.select(F.col(id_col).alias("label_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), "label_id").select("quality", "order", "text")
-    got = rows.mapInArrow(_spread, "quality int, order bigint, text binary").limit(4 * SAMPLE).collect()
+    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), "label_id").select(F.col("label_id").cast("string"), "quality", "order", F.xxhash64("text").alias("hash"), "text")
+    spread = rows.mapInArrow(_spread, "label_id string, quality int, order bigint, hash bigint, text binary")
+    got = [r["row"] for r in spread.groupBy("label_id").agg(F.min(F.struct("hash", "text", "quality", "order")).alias("row")).collect()]
     got.sort(key=lambda r: (r["order"], bytes(r["text"])))
     return ByteNet().fit([np.frombuffer(bytes(r["text"]), dtype=np.uint8) for r in got], np.array([r["quality"] for r in got]))
 

@@ -85,6 +85,19 @@ def test_quality_odd_rows(spark, net):
     assert quality.keep_good(docs, odd).columns == docs.columns
 
 
+def test_quality_one_row_of_each_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "SAMPLE", 10)
+    monkeypatch.setattr(quality.ByteNet, "fit", lambda self, texts, labels: seen.append(sorted((t.tobytes(), int(q)) for t, q in zip(texts, labels))))
+    rows = [(1, f"copy {k}") for k in range(300)] + [(k, f"text {k}") for k in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 12)], "doc_id long, quality int, toxic int")
+    used = {r.doc_id for r in labels.where(quality.crc_fold("doc_id", quality.FOLDS) != 0).collect()}
+    for n in (1, 5):
+        quality.train(docs.repartition(n, "text"), labels)
+    assert 1 in used and len(seen[0]) == len(used) and seen[0] == seen[1] and {q for _, q in seen[0]} == {0, 1}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.predict(docs, langid.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(langid.crc_fold("doc_id", 3) == 1)
