@@ -77,7 +77,7 @@ def _log_rows(counts: list[Counter], most: int) -> tuple[dict[str, int], np.ndar
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from texts and languages outside the held-out fold."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (crc_fold("doc_id", FOLDS) != HELD)).withColumn("order", F.xxhash64("doc_id"))
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     first = Window.partitionBy("lang").orderBy("order", "doc_id")

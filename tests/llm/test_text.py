@@ -114,6 +114,12 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_of_mostly_null_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    rows = [(k, "the plain words", "en") for k in range(50)] + [(k, None if k < 2000 else "les mots simples", "fr") for k in range(50, 2010)]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["en", "fr"]
+
+
 def test_language_backoff():
     from collections import Counter
 
