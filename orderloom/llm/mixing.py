@@ -5,15 +5,20 @@ times; expected copies are prefix-summed over the source's documents in order of
 is added, and a document is emitted once per integer boundary that its interval crosses. The order by size
 keeps the words taken within about one document of the target.
 
-Prefix sums are made in three levels, (source, size class), hashed part of a class, and row, so that no
-window holds more than a bounded part of a source however large it is. DataFrame operations only.
-
-Defined results: a null text has size 0 and is emitted like its neighbours; a null source is one source, last
-in order; repeated rows are separate documents; other columns are kept as they are; an empty table gives none.
+Prefix sums are made in three levels, (source, size class), hashed part of a class, and row. There are as many parts
+as the square root of the number of documents, so that the parts of a class and the rows of a part, which windows sort,
+both grow with that root only. Windows and their shuffles carry ids and sizes, never texts: `mix` numbers the rows once,
+in a written table, and fetches each row of the mix from it by that number. DataFrame operations only.
+
+Defined results: a null text has size 0 and is emitted like its neighbours; a text of any length is one number here;
+a null source is one source, last in order; repeated rows are separate documents; other columns, whatever their names,
+are kept as they are; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +26,6 @@ from .common import join_nulls, staged, table, word_count
 
 #: Weights of the sources in order, repeating; the mix's words per word of input; the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Rows that one part of a size class holds, about, and the most parts of a class.
-PART_ROWS, PARTS = 256, 4096
 SEED = "mix-1"
 
 
@@ -50,25 +53,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", F.least(share, (MOST * F.col("source_size")).cast("double")).alias("target"))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) and the columns named in keep, as a struct, of every row."""
-    base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        word_count(text_col).alias("size"),
-        F.xxhash64(text_col).alias("tie"),
-        *([F.struct(*keep).alias("row")] if keep else []),
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tie: Column | None = None, row_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) of every row, and row, its number in row_col.
+
+    tie orders rows that are equal in source, size and id; without it, a hash of their texts."""
+    rows = staged(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            word_count(text_col).alias("size"),
+            (F.xxhash64(text_col) if tie is None else tie).alias("tie"),
+            *([] if row_col is None else [F.col(row_col).alias("row")]),
+        ),
+        "sizes",
     )
-    if not keep:
-        base = staged(base, "sizes")
     bits = F.bin("size")
-    rows = base.withColumn("size_class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
-    small = rows.select("doc_id", "source", "size", "size_class")
-    small = staged(small, "small") if keep else small
-    parts = max(1, min(PARTS, -(-small.count() // PART_ROWS)))
+    rows = rows.withColumn("size_class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
+    parts = max(1, math.ceil(math.sqrt(rows.count())))
     part = (_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts).alias("part")
     keys = ["source", "size_class", "part"]
-    counts = staged(small.withColumn("part", part).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "counts")
+    counts = staged(rows.withColumn("part", part).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "counts")
     before = lambda c, *keys: F.coalesce(F.sum(c).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by_class = counts.groupBy("source", "size_class").agg(F.sum("n").alias("class_n"), F.sum("words").alias("class_words"))
     by_class = by_class.withColumn("class_from", before("class_n", "source", "size_class"))
@@ -82,16 +86,19 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     at = Window.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_last(), "tie")
     numbered = rows.withColumn("part", part).withColumn("rn", F.row_number().over(at))
     placed = join_nulls(numbered, start.select(*keys, "start", "source_size", "target", "rate", "offset"), keys).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("start") + F.col("rn")).alias("place"), "rate", "offset", *(["row"] if keep else [])
+        "doc_id", "source", "size", "source_size", "target", (F.col("start") + F.col("rn")).alias("place"), "rate", "offset", *([] if row_col is None else ["row"])
     )
     upto = lambda place: F.floor(place * F.col("rate") + F.col("offset"))
     return placed.withColumn("copies", upto(F.col("place")) - upto(F.col("place") - 1)).drop("place", "rate", "offset")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken."""
-    taken = copies(docs, id_col, text_col, source_col, keep=docs.columns)
-    return taken.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
+    """The mix itself: the rows of docs, each as often as it is taken, MOST times at most."""
+    numbered = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    slim = numbered.select(F.col(f"row.{id_col}").alias("id"), F.col(f"row.{text_col}").alias("text"), F.col(f"row.{source_col}").alias("source"), F.xxhash64(*(F.col(f"row.`{c}`") for c in hashed)).alias("tie"), "number")
+    taken = copies(slim, "id", "text", "source", F.col("tie"), "number").where("copies > 0").select(F.col("row").alias("number"), "copies")
+    return numbered.join(taken, "number").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +108,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, hash(text) AS tie, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-n AS (SELECT greatest(1, least(4096, CAST(ceil(count(*) / 256.0) AS BIGINT))) AS parts FROM d),
+n AS (SELECT greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS parts FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
              1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
