@@ -1,17 +1,18 @@
 """Preference formatting of conversations.
 
-Two conversations, chosen and rejected, are compared turn by turn. Their longest common prefix is rendered once as the
-prompt; what follows on either side is a completion, with the spans of its assistant turns as a mask: only those
+Two conversations, chosen and rejected, are compared turn by turn. Their longest common prefix of turns is rendered once
+as the prompt; what follows on either side is a completion, with the spans of its assistant turns as a mask: only those
 characters are trained on. DataFrame operations only.
 
-Turns meet by (pair, turn) and the first difference is a minimum per pair, so no conversation is gathered to compare
-it. Strings are assembled in pieces of PIECE turn numbers: a usual pair is one row, a conversation of any length is as
-many rows as it has pieces, and none is cut.
+Texts are shuffled once, by pair; slots and conversations are put together on that partitioning. A pair is one row, as a
+preference example is one prompt with two completions: rows of a pair meet in one task by the nature of the result, and
+two conversations have to fit a row (2 GB).
 
 Defined results: rows without a conversation id belong to none; a null turn counts as 0, a null role as `user`, a null
 text as empty; repeated rows of a turn count once, different rows of one turn are one slot in order of role and text;
-a conversation without a partner has an empty prompt and one empty completion; equal conversations are all prompt;
-other columns are not read.
+turns are compared by their place in order of turn number, so gaps in the numbers don't matter; a conversation without a
+partner has an empty prompt and one empty completion; equal conversations are all prompt; texts of any length stay
+whole; an empty table gives an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import table
 
-#: Turn numbers of one piece, a power of two.
-PIECE = 64
 OPEN, MIDDLE, CLOSE, ANSWERS = "<|im_start|>", "\n", "<|im_end|>\n", "assistant"
 
 
@@ -33,18 +32,17 @@ def neighbours(conversations: DataFrame) -> DataFrame:
 
 
 def _slots(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair_id, turn, chosen, rejected): the rendered slot of either side and whether it is an answer."""
+    """(pair_id, side, turn, body, answer): the rendered slot of each turn and whether it is an answer."""
     turns = conversations.where("conv_id is not null").select(
         "conv_id",
         F.coalesce("turn", F.lit(0)).cast("long").alias("turn"),
         F.coalesce("role", F.lit("user")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = turns.join(pairs, "conv_id").groupBy("pair_id", "turn", "side").agg(F.sort_array(F.collect_set(F.struct("role", "text"))).alias("said"))
+    by_pair = turns.join(pairs.select("conv_id", "pair_id", "side"), "conv_id").drop("conv_id").repartition("pair_id")
+    rows = by_pair.groupBy("pair_id", "side", "turn").agg(F.sort_array(F.collect_set(F.struct("role", "text"))).alias("said"))
     shown = F.array_join(F.transform("said", lambda s: F.concat(F.lit(OPEN), s.role, F.lit(MIDDLE), s.text, F.lit(CLOSE))), "")
-    rows = rows.withColumn("slot", F.struct(shown.alias("body"), F.forall("said", lambda s: s.role == ANSWERS).alias("answer")))
-    side = lambda n: F.max(F.when(F.col("side") == n, F.col("slot")))
-    return rows.groupBy("pair_id", "turn").agg(side(0).alias("chosen"), side(1).alias("rejected"))
+    return rows.select("pair_id", "side", "turn", shown.alias("body"), F.forall("said", lambda s: s.role == ANSWERS).alias("answer"))
 
 
 def _joined(slots: Column) -> Column:
@@ -53,37 +51,35 @@ def _joined(slots: Column) -> Column:
 
 def _mask(slots: Column) -> Column:
     """Spans of answers, as from-to in code points of the joined slots."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("spans"))
 
     def add(acc: Column, s: Column) -> Column:
         end = acc.at + F.length(s.body)
-        span = F.concat(acc.at.cast("string"), F.lit("-"), end.cast("string"))
-        return F.struct(end.alias("at"), F.when(s.answer, F.array_append(acc.spans, span)).otherwise(acc.spans).alias("spans"))
+        span = F.concat(F.when(acc.spans == "", "").otherwise(","), acc.at.cast("string"), F.lit("-"), end.cast("string"))
+        return F.struct(end.alias("at"), F.when(s.answer, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
 
-    return F.aggregate(slots, start, add, lambda acc: F.array_join(acc.spans, ","))
+    return F.aggregate(slots, start, add, lambda acc: acc.spans)
 
 
 def preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair_id, piece, prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask).
+    """(pair_id, prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask), a row for each pair.
 
     pairs: (conv_id, pair_id, side), side 0 chosen and 1 rejected."""
-    slots = staged(_slots(conversations, pairs), "slots")
-    body = lambda c: F.col(f"{c}.body")
-    ends = staged(slots.groupBy("pair_id").agg(F.min(F.when(~body("chosen").eqNullSafe(body("rejected")), F.col("turn"))).alias("first")), "ends")
-    placed = slots.join(ends, "pair_id").withColumn("piece", F.shiftright("turn", PIECE.bit_length() - 1))
-    common = F.col("first").isNull() | (F.col("turn") < F.col("first"))
-    rows = placed.groupBy("pair_id", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", common.alias("common"), "chosen", "rejected"))).alias("turns"))
-    shared = F.filter("turns", lambda t: t.common)
-    after = lambda name: F.transform(F.filter("turns", lambda t: ~t.common & t[name].isNotNull()), lambda t: t[name])
-    return rows.select(
+    side = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("turn", "body", "answer"))))
+    both = _slots(conversations, pairs).groupBy("pair_id").agg(side(0).alias("c"), side(1).alias("r"))
+    same = F.zip_with("c", "r", lambda c, r: c.body.eqNullSafe(r.body))
+    differ = F.array_position(same, False)
+    both = both.withColumn("shared", F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int"))
+    rest = lambda name: F.slice(name, F.col("shared") + 1, F.size(name))
+    both = both.withColumns({"prompt": F.slice("c", F.lit(1), F.col("shared")), "c": rest("c"), "r": rest("r")})
+    return both.select(
         "pair_id",
-        "piece",
-        F.size(shared).cast("long").alias("prompt_turns"),
-        _joined(F.transform(shared, lambda t: t.chosen)).alias("prompt"),
-        _joined(after("chosen")).alias("chosen"),
-        _mask(after("chosen")).alias("chosen_mask"),
-        _joined(after("rejected")).alias("rejected"),
-        _mask(after("rejected")).alias("rejected_mask"),
+        F.col("shared").cast("long").alias("prompt_turns"),
+        _joined(F.col("prompt")).alias("prompt"),
+        _joined(F.col("c")).alias("chosen"),
+        _mask(F.col("c")).alias("chosen_mask"),
+        _joined(F.col("r")).alias("rejected"),
+        _mask(F.col("r")).alias("rejected_mask"),
     )
 
 
@@ -97,15 +93,16 @@ WITH m AS (SELECT DISTINCT floor(conv_id / 2)::BIGINT AS pair_id, CAST(((conv_id
                   coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 s AS (SELECT pair_id, side, turn, string_agg('{OPEN}' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY role, text) AS body,
              bool_and(role = '{ANSWERS}') AS answer FROM m GROUP BY ALL),
-c AS (SELECT pair_id, turn, max(CASE WHEN side = 0 THEN body END) AS c, max(CASE WHEN side = 1 THEN body END) AS r FROM s GROUP BY ALL),
-f AS (SELECT pair_id, min(CASE WHEN c IS DISTINCT FROM r THEN turn END) AS first FROM c GROUP BY ALL),
-p AS (SELECT s.*, floor(turn / {PIECE})::BIGINT AS piece, first IS NULL OR turn < first AS common FROM s JOIN f USING (pair_id)),
-o AS (SELECT *, sum(length(body)) OVER (PARTITION BY pair_id, piece, side, common ORDER BY turn) AS till FROM p)
-SELECT pair_id, piece, CAST(count(*) FILTER (common AND side = 0) AS BIGINT) AS prompt_turns,
-  coalesce(string_agg(body, '' ORDER BY turn) FILTER (common AND side = 0), '') AS prompt,
-  coalesce(string_agg(body, '' ORDER BY turn) FILTER (NOT common AND side = 0), '') AS chosen,
-  coalesce(string_agg((till - length(body))::BIGINT || '-' || till::BIGINT, ',' ORDER BY turn) FILTER (NOT common AND side = 0 AND answer), '') AS chosen_mask,
-  coalesce(string_agg(body, '' ORDER BY turn) FILTER (NOT common AND side = 1), '') AS rejected,
-  coalesce(string_agg((till - length(body))::BIGINT || '-' || till::BIGINT, ',' ORDER BY turn) FILTER (NOT common AND side = 1 AND answer), '') AS rejected_mask
-FROM o GROUP BY pair_id, piece
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn) AS place FROM s),
+c AS (SELECT pair_id, place, max(CASE WHEN side = 0 THEN body END) AS c, max(CASE WHEN side = 1 THEN body END) AS r FROM n GROUP BY ALL),
+f AS (SELECT pair_id, min(CASE WHEN c IS DISTINCT FROM r THEN place END) AS first FROM c GROUP BY ALL),
+p AS (SELECT n.*, first IS NULL OR place < first AS common FROM n JOIN f USING (pair_id)),
+o AS (SELECT *, sum(length(body)) OVER (PARTITION BY pair_id, side, common ORDER BY place) AS till FROM p)
+SELECT pair_id, CAST(count(*) FILTER (common AND side = 0) AS BIGINT) AS prompt_turns,
+  coalesce(string_agg(body, '' ORDER BY place) FILTER (common AND side = 0), '') AS prompt,
+  coalesce(string_agg(body, '' ORDER BY place) FILTER (NOT common AND side = 0), '') AS chosen,
+  coalesce(string_agg((till - length(body))::BIGINT || '-' || till::BIGINT, ',' ORDER BY place) FILTER (NOT common AND side = 0 AND answer), '') AS chosen_mask,
+  coalesce(string_agg(body, '' ORDER BY place) FILTER (NOT common AND side = 1), '') AS rejected,
+  coalesce(string_agg((till - length(body))::BIGINT || '-' || till::BIGINT, ',' ORDER BY place) FILTER (NOT common AND side = 1 AND answer), '') AS rejected_mask
+FROM o GROUP BY pair_id
 """
