@@ -5,8 +5,9 @@ filter per shard of digests. An incoming batch is first grouped by digest on its
 digests are then screened shard by shard, and only positives join the exact buckets, where the bytes
 of the normalised texts are compared. Texts are equal when identical after deleting ASCII white space.
 
-Defined results: a null text counts as empty; a null id sorts after all others; repeated rows of one id
-stay or go together; other columns, whatever their names, are not read; empty tables give empty results.
+Defined results: a null text counts as empty; texts of any length are hashed whole; a null id sorts after all others; of
+each group one row stays, so of rows that are equal in id and length, too, one at will; other columns, whatever their
+names, are not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """One row per digest; the first of `best` is the longest original, then the smallest id."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("neg_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    """One row per digest; `best` is the longest original, then the smallest id, and the one row of it that stays."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("neg_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     return prints.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
 
 
@@ -91,10 +92,14 @@ def screen(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str, name: str) -> DataFrame:
-    """The normalised text of each wanted (digest, id), once."""
-    ids = broadcast_if(wanted.select("digest", F.col("id").alias("wanted_id")), rows, BROADCAST_ROWS)
-    own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
-    found = own.join(ids, own.own_id.eqNullSafe(ids.wanted_id)).select("digest", normalised("own_text").alias(name))
+    """The normalised text of each wanted (digest, best), once. Rows meet by id and length; rows without an id by digest, too."""
+    no_id = lambda c, digest: F.when(F.col(c).isNull(), digest)
+    ids = wanted.select("digest", F.col("best.doc_id").alias("wanted_id"), (-F.col("best.neg_chars")).alias("wanted_chars"), no_id("best.doc_id", F.col("digest")).alias("wanted_digest"))
+    ids = broadcast_if(ids, rows, BROADCAST_ROWS)
+    own = docs.select(F.col(id_col).alias("own_id"), F.length(text_or_empty(text_col)).alias("own_chars"), F.col(text_col).alias("own_text"))
+    own = own.withColumn("own_digest", no_id("own_id", F.unhex(F.sha2(normalised("own_text"), 256))))
+    meet = own.own_id.eqNullSafe(ids.wanted_id) & (own.own_chars == ids.wanted_chars) & own.own_digest.eqNullSafe(ids.wanted_digest)
+    found = own.join(ids, meet).select("digest", normalised("own_text").alias(name))
     return found.where(F.unhex(F.sha2(name, 256)) == F.col("digest")).dropDuplicates(["digest"])
 
 
@@ -103,8 +108,8 @@ def match(snapshot: Snapshot, batch_docs: DataFrame, batch: DataFrame, id_col: s
     positive = screen(snapshot, batch).join(batch.withColumnsRenamed({"best": "new_best", "n": "new_n"}), "digest")
     pairs = staged(positive.join(snapshot.buckets, "digest"), "positives")
     rows = pairs.count()
-    new = _texts(batch_docs, pairs.select("digest", F.col("new_best.doc_id").alias("id")), rows, id_col, text_col, "new_text")
-    old = _texts(snapshot.docs, pairs.select("digest", F.col("best.doc_id").alias("id")), rows, id_col, text_col, "old_text")
+    new = _texts(batch_docs, pairs.select("digest", F.col("new_best").alias("best")), rows, id_col, text_col, "new_text")
+    old = _texts(snapshot.docs, pairs.select("digest", "best"), rows, id_col, text_col, "old_text")
     same = new.join(old, "digest").where(F.col("new_text") == F.col("old_text")).select("digest")
     return pairs.join(same, "digest").select("digest", F.least("best", "new_best").alias("best"), (F.col("n") + F.col("new_n")).alias("n"))
 
@@ -112,7 +117,7 @@ def match(snapshot: Snapshot, batch_docs: DataFrame, batch: DataFrame, id_col: s
 def dedup(snapshot_docs: DataFrame, batch_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document of both: doc_id, keep_id, group_size, kept, text_sha256."""
     tagged = [fingerprints(d, id_col, text_col).withColumn("side", F.lit(side)) for side, d in enumerate((snapshot_docs, batch_docs))]
-    prints = staged(tagged[0].unionByName(tagged[1]), "fingerprints")
+    prints = staged(tagged[0].unionByName(tagged[1]).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     shards = max(1, -(-prints.count() // SHARD_KEYS))
     snapshot = build_snapshot(snapshot_docs, prints.where("side = 0"), shards)
     batch = staged(classes(prints.where("side = 1")), "batch")
@@ -124,7 +129,7 @@ def dedup(snapshot_docs: DataFrame, batch_docs: DataFrame, id_col: str = "doc_id
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.neg_chars"))).alias("kept"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -138,8 +143,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
-r AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, first_value(length(t)) OVER w AS keep_len, length(t) AS len,
-             count(*) OVER (PARTITION BY norm) AS n
+r AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept, count(*) OVER (PARTITION BY norm) AS n
       FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST))
-SELECT doc_id, keep_id, n AS group_size, (doc_id IS NOT DISTINCT FROM keep_id AND len = keep_len) AS kept, sha256(norm) AS text_sha256 FROM r
+SELECT doc_id, keep_id, n AS group_size, kept, sha256(norm) AS text_sha256 FROM r
 """
