@@ -6,12 +6,14 @@ cover the document from its first byte to its last. A hidden layer reads each ch
 the greatest and the mean activations over the document's chunks are combined into one probability.
 
 The network is trained on the driver on a bounded sample of labelled documents: up to SAMPLE rows of each label,
-chosen by a hash of the id, of each at most TRAIN_SEGMENTS stretches of 256 bytes, evenly spread. Scoring is a map
-over whole texts without any shuffle; long documents are read in stretches, so memory doesn't grow with them.
+chosen by a hash of the id, one row an id, and all chunks of its text. Some steps see the beginning of a good text only,
+as short good documents are rare in a sample. Scoring is a map over whole texts without any shuffle; long documents are
+read in stretches, so memory doesn't grow with them.
 
 Defined results: a null text counts as empty; an empty text gets the score of a chunk of padding; without usable
-labels every score is 0.5; labels repeated for an id count once, the lowest; repeated rows are scored alike; other
-columns are not read.
+labels every score is 0.5; labels repeated for an id count once, the lowest; repeated rows are scored alike; an empty
+table gives an empty one; other columns, whatever their names, are kept and not read, but one named as the score is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, table, text_or_empty
+from .common import crc_fold, free_name, table, text_or_empty
 
-#: Rows of each label that training takes at most, and 256-byte stretches of each.
-SAMPLE, TRAIN_SEGMENTS = 900, 16
+#: Rows of each label that training takes at most.
+SAMPLE = 900
 #: A document is called good from this score on; every FOLDS-th fold is held out.
 THRESHOLD, FOLDS = 0.3, 5
 EMBED, BLOCK, TAPS, FILTERS, HIDDEN, SEGMENT = 8, 4, 3, 32, 16, 64
@@ -106,23 +108,25 @@ class ByteNet:
         g["bias"] = dp.sum(axis=0)
         d_pooled = np.where(follows, 0, dp)
         d_pooled[1:] += np.where(follows, dp, 0)[:-1]
-        s, f = np.nonzero(d_pooled)
-        d, block = d_pooled[s, f], s * SEGMENT + where[s, f]
         g["taps"], g["embed"] = np.zeros_like(w["taps"]), np.zeros_like(w["embed"])
         taps = g["taps"].reshape(EMBED * BLOCK, TAPS, FILTERS)
-        for t in range(TAPS):
+        s, f = np.nonzero(d_pooled)
+        by = np.argsort(f, kind="stable")
+        s, f = s[by], f[by]
+        d, block = d_pooled[s, f], s * SEGMENT + where[s, f]
+        runs = np.flatnonzero(np.diff(f, prepend=-1))
+        for t in range(TAPS if len(s) else 0):
             at = np.minimum(block + t, len(x) - 1)
-            by_filter = np.zeros((FILTERS, EMBED * BLOCK), np.float32)
-            np.add.at(by_filter, f, x[at] * d[:, None])
-            taps[:, t] = by_filter.T
-            back = w["taps"][:, t * FILTERS + f].T * d[:, None]
-            np.add.at(g["embed"], buf.reshape(-1, BLOCK)[at], back.reshape(-1, BLOCK, EMBED))
+            taps[:, t, f[runs]] = np.add.reduceat(x[at] * d[:, None], runs).T
+            back = (w["taps"][:, t * FILTERS + f].T * d[:, None]).reshape(-1, EMBED)
+            seen = buf.reshape(-1, BLOCK)[at].ravel()
+            g["embed"] += np.stack([np.bincount(seen, back[:, e], 256) for e in range(EMBED)], axis=1)
         return g
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, steps: int = 260, batch: int = 24, rate: float = 0.01, seed: int = 11) -> ByteNet:
         """Adam over batches that hold as many documents of either label; with one label, that one alone.
 
-        A part of the good documents is cut to a few words, as short good documents are rare in a sample."""
+        Of a part of the good documents a step takes the beginning only, as short good documents are rare in a sample."""
         r, y = np.random.default_rng(seed), np.asarray(y)
         groups = [g for g in (np.flatnonzero(y == 0), np.flatnonzero(y == 1)) if len(g)]
         if not groups:
@@ -195,23 +199,6 @@ def column_bytes(column: pa.Array) -> list[np.ndarray]:
     return [data[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label_id, quality, order, hash, text) with one row for each id, that of least hash, and texts cut to evenly spread stretches of bytes."""
-    best: dict[str, tuple] = {}
-    for batch in batches:
-        ids, labels, orders, hashes = (batch.column(k).to_pylist() for k in range(4))
-        for i, label, order, h, d in zip(ids, labels, orders, hashes, column_bytes(batch.column(4))):
-            if i in best and h > best[i][2]:
-                continue
-            n = segments(len(d))
-            pick = range(n) if n <= TRAIN_SEGMENTS else sorted({round(i * (n - 1) / (TRAIN_SEGMENTS - 1)) for i in range(TRAIN_SEGMENTS)})
-            row = (label, order, h, b"".join(d[k * SEGMENT_BYTES : (k + 1) * SEGMENT_BYTES].tobytes() for k in pick))
-            best[i] = min(best.get(i, row), row)
-    columns = [[i, *r] for i, r in best.items()]
-    types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in columns], t) for k, t in enumerate(types)], ["label_id", "quality", "order", "hash", "text"])
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNet:
     """A network from the labelled rows outside the held-out fold; labels give no other input."""
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("quality"))
@@ -219,10 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("label_id").agg(F.min("quality").alias("quality")).withColumn("order", F.xxhash64("label_id"))
     some = [known.where(F.col("quality") == q).orderBy("order", "label_id").limit(SAMPLE) for q in (0, 1)]
     texts = docs.select(F.col(id_col).alias("label_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), "label_id").select(F.col("label_id").cast("string"), "quality", "order", F.xxhash64("text").alias("hash"), "text")
-    spread = rows.mapInArrow(_spread, "label_id string, quality int, order bigint, hash bigint, text binary")
-    got = [r["row"] for r in spread.groupBy("label_id").agg(F.min(F.struct("hash", "text", "quality", "order")).alias("row")).collect()]
-    got.sort(key=lambda r: (r["order"], bytes(r["text"])))
+    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), "label_id").withColumn("hash", F.xxhash64("text"))
+    first = rows.groupBy("label_id").agg(F.min(F.struct("hash", F.col("text").cast("binary").alias("text"), "quality", "order")).alias("row"))
+    got = sorted((r["row"] for r in first.toLocalIterator()), key=lambda r: (r["order"], bytes(r["text"])))
     return ByteNet().fit([np.frombuffer(bytes(r["text"]), dtype=np.uint8) for r in got], np.array([r["quality"] for r in got]))
 
 
@@ -246,8 +232,8 @@ def score(docs: DataFrame, net: ByteNet, text_col: str = "text", score_col: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier doesn't reject."""
-    scored = score(docs, train(docs, labels, id_col, text_col), text_col, "_quality_score")
-    return scored.where(F.col("_quality_score") >= THRESHOLD).drop("_quality_score")
+    name = free_name(docs, "quality_score")
+    return score(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
