@@ -1,15 +1,16 @@
 """Site-relative line deduplication.
 
-Lines are counted once per page within their host; a line on more than PERCENT of a host's pages, and on MIN_PAGES
-at least, is boilerplate there and is dropped from its pages. Lines are compared after trimming, by md5; blank lines
-are never counted nor dropped. DataFrame operations only.
+Lines are counted once per page within their host; a line that repeats there, on more than PERCENT of the host's pages,
+is boilerplate and is dropped from its pages. A line of one page alone repeats nowhere: without that, the ratio would
+empty every page of a host with few pages. Lines are compared after trimming, by md5; blank lines are never counted nor
+dropped. DataFrame operations only.
 
 Counting shuffles 16-byte digests that are summed map-side first, never the lines. A host's boilerplate has at most
 (mean lines per page) / (ratio) entries, however many pages it has, so it is one small row; the table of hosts is
 written, so the planner broadcasts it if it is small and joins by host, splitting skewed hosts, if it isn't.
 
-Defined results: a null text has no lines and stays as it is; a null host is one host; repeated rows are separate
-pages; other columns are kept; an empty table gives an empty one.
+Defined results: a null text has no lines and stays as it is; texts of any length are split whole; a null host is one
+host; repeated rows are separate pages; other columns, whatever their names, are kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import join_nulls, staged, table
 
-#: A line on more than this share of a host's pages, in hundredths, and on so many pages at least, is boilerplate.
-PERCENT, MIN_PAGES = 10, 5
+#: A line on more than this share of a host's pages, in hundredths, is boilerplate if it is on so many of them: if it repeats.
+PERCENT, REPEATS = 10, 2
 #: What a page's markup becomes, in order; tags that end a line.
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:a|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
@@ -45,33 +46,39 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(host, drop): the digests of each host's boilerplate lines."""
     two = pages.select(F.col(host_col).alias("host"), F.split(text_col, "\n").alias("lines"))
     full = F.filter("lines", lambda x: F.trim(x) != "")
     keys = two.select("host", F.explode(F.array_distinct(F.transform(full, _key))).alias("key"))
-    often = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    often = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATS)
     totals = pages.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
     found = join_nulls(often, totals, ["host"]).where(100 * F.col("n") > percent * F.col("pages"))
     return staged(found.groupBy("host").agg(F.collect_list("key").alias("drop")), "boilerplate")
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The rows of pages with boilerplate lines dropped from the text; _lines and _dropped are counts of lines that aren't blank."""
-    found = boilerplate(pages, host_col, text_col, percent, min_pages).select(F.col("host").alias(host_col), F.col("drop").alias("_drop"))
-    marked = join_nulls(pages, found, [host_col], "left").withColumn("_all", F.split(text_col, "\n"))
+def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, percent: int = PERCENT, counts: tuple[str, str] | None = None) -> DataFrame:
+    """The rows of pages with boilerplate lines dropped from the text.
+
+    counts: names of two more columns, the lines that aren't blank and how many of them are dropped; names that pages has raise ValueError."""
+    if counts and (taken := {c.lower() for c in counts} & {c.lower() for c in pages.columns}):
+        raise ValueError(f"the table has columns {', '.join(sorted(taken))} already")
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(host_col).alias("host"))
+    marked = join_nulls(rows, boilerplate(pages, host_col, text_col, percent), ["host"], "left")
+    text = F.col(f"row.`{text_col}`")
     none = F.array().cast("array<string>")
-    kept = F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x))))
+    marked = marked.withColumn("lines", F.split(text, "\n"))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _key(x))))
     count = lambda c: F.size(F.filter(F.coalesce(c, none), lambda x: F.trim(x) != "")).cast("long")
-    out = marked.withColumn("_kept", kept).withColumn("_lines", count(F.col("_all"))).withColumn("_dropped", F.col("_lines") - count(F.col("_kept")))
-    text = F.when(F.col("_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).drop("_drop", "_all", "_kept")
+    marked = marked.withColumn("kept", kept).withColumn("n_lines", count(F.col("lines"))).withColumn("n_dropped", F.col("n_lines") - count(F.col("kept")))
+    new = F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(text)
+    own = [new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in pages.columns]
+    return marked.select(*own, *([] if counts is None else [F.col("n_lines").alias(counts[0]), F.col("n_dropped").alias(counts[1])]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
-    out = drop_boilerplate(pages, "host", "text")
-    return out.select("page_id", "host", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    return drop_boilerplate(staged(pages, "pages"), "host", "text", counts=("n_lines", "n_dropped"))
 
 
 def _quoted(pattern: str) -> str:
@@ -86,7 +93,7 @@ WITH t AS (SELECT page_id, lower(regexp_extract(url, '{_quoted(HOST)}', 1)) AS h
   FROM pages),
 n AS (SELECT host, count(*) AS pages FROM t GROUP BY host),
 l AS (SELECT DISTINCT rid, host, unnest(lines) AS line FROM t),
-o AS (SELECT host, line, count(*) AS n FROM l GROUP BY host, line HAVING count(*) >= {MIN_PAGES}),
+o AS (SELECT host, line, count(*) AS n FROM l GROUP BY host, line HAVING count(*) >= {REPEATS}),
 b AS (SELECT o.host, list(line) AS bad FROM o JOIN n ON o.host IS NOT DISTINCT FROM n.host WHERE 100 * o.n > {PERCENT} * n.pages GROUP BY o.host),
 k AS (SELECT t.page_id, t.host, t.lines, CASE WHEN bad IS NULL THEN t.lines ELSE list_filter(t.lines, lambda x: NOT list_contains(bad, x)) END AS kept
       FROM t LEFT JOIN b ON t.host IS NOT DISTINCT FROM b.host)
