@@ -200,7 +200,7 @@ class Codec:
                 out.append(",".join(ids))
             else:
                 out.append(ODD if len(c) > 1 and not c[1] else ",".join(ids[1:]))
-        self.stretches.age()
+        self.stretches.age(new)
         for k, ids in enumerate(out):
             if ODD in ids:
                 runs = self.added_split(texts[k]) if whole[k] else [texts[k]]
@@ -248,10 +248,13 @@ class _Kept(dict):
         self.update((s, self.old[s]) for s in held)
         return strings - held
 
-    def age(self) -> None:
-        """Between batches: a full generation becomes the older one; very long strings aren't kept."""
+    def age(self, new: set[str]) -> None:
+        """Between batches: long ones of the new strings go, so what is kept has a bounded size; a full generation becomes the older one."""
+        for s in new:
+            if len(s) > KEPT_LENGTH:
+                self.pop(s, None)
         if len(self) >= WORDS:
-            self.old = {s: ids for s, ids in self.items() if s and len(s) <= KEPT_LENGTH}
+            self.old = {s: ids for s, ids in self.items() if s}
             self.clear()
 
 
@@ -307,18 +310,21 @@ def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     return _map(two, _with_spec(tokens.sparkSession, vocabulary), schema, lambda c, values: [(c.decode(ids or []),) for ids in values])
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, and its ids decoded again."""
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for: every text encoded, and its ids decoded again."""
 
     def digests(c: Codec, texts: list[str | None]) -> list[tuple]:
         out = []
         for ids in c.encode_printed([t or "" for t in texts]):
             again = c.decode_printed(ids)
-            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(again.encode()).hexdigest()))
+            own = (np.fromstring(ids, np.int32, sep=","),) if with_ids else ()
+            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), *own))
         return out
 
     two, first = _ids(docs, id_col, text_col)
     schema = T.StructType([first, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return _map(two, _with_spec(docs.sparkSession, vocabulary), schema, digests)
 
 
