@@ -1,15 +1,17 @@
 """Exact and near duplicates, lines, mixing and the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm.helpers import SF, documents, everything
-from orderloom.llm import exact_dedup, fuse_filter, jaccard, lines, mixing
+from orderloom.llm import bpe, exact_dedup, fuse_filter, jaccard, lines, mixing, quality
 from orderloom.llm.components import components
 
 
@@ -28,10 +30,13 @@ def exact_brute(rows):
     for i, t in rows:
         groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i))
     out = []
+    stays = set()
     for i, t in rows:
         own = groups[norm(t)]
         best = min(own, key=lambda x: (x[0], x[1], x[2] or 0))
-        out.append((i, best[2], len(own), i == best[2] and len(t or "") == -best[0]))
+        kept = norm(t) not in stays and i == best[2] and len(t or "") == -best[0]
+        stays |= {norm(t)} if kept else set()
+        out.append((i, best[2], len(own), kept))
     return sorted(out, key=str)
 
 
@@ -43,7 +48,16 @@ def test_exact_dedup(spark):
     assert exact_dedup.dedup(docs.limit(0), docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+def test_exact_dedup_keeps_one_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "ab"), (None, "c d"), (None, "c d"), (None, "c  e"), (None, "ce"), (3, "c\td")], "doc_id long, text string")
+    for cut in ("true", "false", "doc_id = 2 or text = 'c d'", "length(text) > 2"):
+        got = exact_dedup.dedup(docs.where(cut), docs.where(f"not coalesce({cut}, false)")).groupBy("text_sha256").agg({"kept": "count", "doc_id": "count"}).collect()
+        assert len(got) == 3
+        rows = exact_dedup.dedup(docs.where(cut), docs.where(f"not coalesce({cut}, false)")).collect()
+        assert sum(r.kept for r in rows) == 3 and sorted(r.group_size for r in rows) == [2, 2, 3, 3, 3, 3, 3, 3]
+
+@pytest.mark.parametrize("limit", [0, 1 << 19])
+def test_components(spark, limit):
     r, n = random.Random(2), 300
     pairs = [(r.randrange(n), r.randrange(n)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(5001, 5100)]
     parent = {}
@@ -51,9 +65,9 @@ def test_components(spark):
     for a, b in pairs:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long"), limit).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), limit).count() == 0
 
 
 def shingles(text):
@@ -97,6 +111,22 @@ def test_jaccard_equals_brute_force(spark):
     assert [(x.n_shingles, x.component_id) for x in got if x.doc_id is None] == [(1, None)]
 
 
+def test_jaccard_texts_of_one_id_are_one_node(spark):
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(5, words("a", 30)), (5, words("b", 30)), (4, words("b", 31)), (9, words("a", 29)), (9, words("a", 29)), (7, words("c", 40)), (8, words("c", 40)), (6, words("d", 3)), *((5, words(f"x{k}_", 12)) for k in range(50)), (3, words("x7_", 12))]
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(3, 3), (4, 3), (5, 3), (9, 3), (7, 7), (8, 7), (6, 6)}
+
+
+def test_jaccard_signatures():
+    r = np.random.default_rng(4)
+    for n in (1, 40, 3000):
+        a, b = r.integers(0, 1 << 60, n, dtype=np.uint64), r.integers(0, 1 << 60, n // 3 + 1, dtype=np.uint64)
+        both = np.concatenate([a, b])
+        bits = lambda x, y: int(np.bitwise_count((jaccard._signature(x) ^ jaccard._signature(y)).view(np.uint64)).sum())
+        assert bits(a, both) <= len(b) and bits(a, a[::-1].copy()) == 0
+
+
 def test_jaccard_tiles(monkeypatch):
     docs = [np.frombuffer(t.encode(), dtype=np.uint8) for t in ("a b c d e f g h " * 40 + "x", "", " ", "b c d e f", "é " * 300)]
     whole = [s.tolist() for s in jaccard.shingle_sets(docs)]
@@ -114,16 +144,40 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 8").isEmpty() and kept.where("doc_id is null").count() == 1
 
 
+def lines_brute(rows):
+    """(text, lines, dropped) of rows (host, text): lines on two pages and more than a tenth of the host's go."""
+    pages, on = Counter(), Counter()
+    for host, text in rows:
+        pages[host] += 1
+        on.update((host, x) for x in {x.strip(" ") for x in (text or "").split("\n")} - {""})
+    out = []
+    for host, text in rows:
+        every = (text or "").split("\n")
+        bad = [x for x in every if x.strip(" ") and on[host, x.strip(" ")] >= 2 and 10 * on[host, x.strip(" ")] > pages[host]]
+        out.append((text if not bad else "\n".join(x for x in every if x not in bad), sum(1 for x in every if x.strip(" ")), len(bad)))
+    return out
+
+
 def test_lines(spark):
-    pages = [("menu\nhome\nown text %d\n\nfooter" % k, "a" if k % 2 else None) for k in range(40)] + [("menu\nother", "c")] * 3
-    out = lines.drop_boilerplate(documents(spark, *pages, extra=[(None, None, None, "a")]), "source", "text").collect()
+    pages = [("menu\nhome\nown text %d\n\nfooter" % k, "a" if k % 2 else None) for k in range(40)] + [("menu\nother", "c")] * 3 + [("alone\non its host", "d"), ("menu\nx", "e"), ("menu \ny", "e")]
+    pages += [(f"common\n{k}" if k < 2 else f"{k}\n{'x' * 100_000}", "f") for k in range(20)]
+    docs = documents(spark, *pages, extra=[(None, None, None, "a")])
+    out = lines.drop_boilerplate(docs, "source", "text", counts=("n_lines", "n_dropped")).collect()
+    assert sorted((r.text, r.n_lines, r.n_dropped) for r in out if r.text is not None) == sorted(x for x in lines_brute([(r.source, r.text) for r in docs.collect()]) if x[0] is not None)
     assert {r.text for r in out if r.doc_id is not None and r.doc_id < 40} == {f"own text {k}\n" for k in range(40)}
-    assert {(r.text, r["_dropped"]) for r in out if r.source == "c"} == {("menu\nother", 0)}
+    assert {(r.text, r.n_dropped) for r in out if r.source == "c"} == {("", 2)} and {(r.text, r.n_dropped) for r in out if r.source == "d"} == {("alone\non its host", 0)}
     assert [r.text for r in out if r.doc_id is None] == [None]
+
+
+def test_lines_odd_rows(spark):
     odd = everything(spark)
-    got = lines.drop_boilerplate(odd, "source", "text").drop("_lines", "_dropped")
-    assert got.exceptAll(odd).isEmpty() and got.count() == odd.count()
+    for name in ("row", "host", "lines", "kept", "drop", "key", "n", "_drop", "_all", "_kept", "_lines", "_dropped", "_right_host", "n_dropped"):
+        odd = odd.withColumn(name, F.lit(f"own {name}"))
+    got = lines.drop_boilerplate(odd, "source", "text")
+    assert got.columns == odd.columns and got.drop("text").exceptAll(odd.drop("text")).isEmpty() and got.count() == odd.count()
     assert lines.drop_boilerplate(odd.limit(0), "source", "text").count() == 0
+    with pytest.raises(ValueError):
+        lines.drop_boilerplate(odd, "source", "text", counts=("n_lines", "N_dropped"))
 
 
 def test_page_text(spark):
@@ -177,23 +231,50 @@ def test_mixing_odd_rows(spark):
     assert out.columns == docs.columns and out.where("source is null").count() >= 3
 
 
-def test_pipeline(spark):
+def test_mixing_keeps_rows_whole(spark):
+    docs = everything(spark).withColumns({c: F.lit(f"own {c}") for c in ("number", "id", "copies", "tie", "target", "rate", "part")})
+    out, placed = mixing.mix(docs), mixing.copies(docs)
+    assert out.columns == docs.columns and out.exceptAll(docs.unionByName(docs)).isEmpty()
+    assert out.groupBy().count().first()[0] == placed.agg(F.sum("copies")).first()[0]
+    same = spark.createDataFrame([(1, "a b c", "en", "s")] * 500 + [(2, "x y", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert mixing.mix(same).count() == mixing.copies(same).agg(F.sum("copies")).first()[0] > 501
+
+
+def test_pipeline_equals_brute_force(spark):
+    """run() against a chain of brute-force stages; the classifier's scores are taken as given."""
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = set(docs.columns)
-    stages = dict(corpus_pipeline.STAGES)
-    good = stages["quality"](spark, docs, SF).cache()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    assert set(good.columns) == columns and good.exceptAll(docs.select(good.columns)).isEmpty()
+    good = quality.keep_good(docs, labels)
+    assert good.columns == docs.columns and good.exceptAll(docs).isEmpty()
     assert good.join(labels.where("quality = 1"), "doc_id").count() >= 0.95 * docs.join(labels.where("quality = 1"), "doc_id").count()
-    lined = stages["line dedup"](spark, good, SF)
-    assert set(lined.columns) == columns and lined.count() == good.count()
-    near = stages["near duplicates"](spark, good, SF)
-    want = near_brute([(r.doc_id, r.text) for r in good.select("doc_id", "text").collect()])
-    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
-    mixed = stages["mixing"](spark, near, SF)
-    assert set(mixed.columns) == columns
-    tokens = stages["tokens"](spark, mixed, SF)
-    assert tokens.count() == mixed.count() and tokens.where("n_tokens <> size(ids)").isEmpty()
+    rows = [(r.doc_id, r.text, r.source) for r in good.collect()]
+    rows = [(i, t, s) for (i, _, s), (t, _, _) in zip(rows, lines_brute([(s, t) for _, t, s in rows]))]
+    near = near_brute([(i, t) for i, t, _ in rows])
+    rows = [r for r in rows if near[r[0]][1] == r[0]]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    names, words = sorted({s for _, _, s in rows}), Counter()
+    for _, t, s in rows:
+        words[s] += size(t)
+    want = dict(zip(names, targets_brute([words[s] for s in names])))
+    got = corpus_pipeline.run(spark, SF).collect()
+    copies, text, source = Counter(r.doc_id for r in got), {i: t for i, t, _ in rows}, {i: s for i, _, s in rows}
+    assert copies.keys() <= text.keys() and max(copies.values()) <= 2
+    for s in names:
+        assert abs(sum(size(text[i]) * n for i, n in copies.items() if source[i] == s) - want[s]) <= max(size(t) for _, t, o in rows if o == s)
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    for r in got:
+        ids = library.encode(text[r.doc_id] or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.n_tokens == len(ids)
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_stages_keep_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == corpus_pipeline.COLUMNS, name
 
 
 def test_pipeline_takes_nothing(spark, tmp_path):

@@ -121,19 +121,29 @@ def test_preferences(spark):
         (2, 0, u, "same"), (3, 0, u, "same"), (4, 0, None, None), (None, 0, u, "x"), (6, None, u, "n"), (6, None, u, "n"), (6, 1, a, "m"), (7, 0, u, "n"), *((8, k, a, "t") for k in range(130)), *((9, k, a, "t" if k < 100 else "v") for k in range(130)),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, piece int")
-    got = {(r.pair_id, r.piece): r for r in chat.preferences(df, chat.neighbours(df)).collect()}
+    got = {r.pair_id: r for r in chat.preferences(df, chat.neighbours(df)).collect()}
     turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
-    r = got[0, 0]
+    r = got[0]
     assert r.prompt == turn(u, "hi") + turn(a, "yes") + turn(u, "go") and r.prompt_turns == 3
     assert (r.chosen, r.rejected) == (turn(a, "A"), turn(a, "B") + turn(u, "?"))
     assert r.chosen_mask == r.rejected_mask == f"0-{len(turn(a, 'A'))}"
-    assert (got[1, 0].prompt, got[1, 0].chosen, got[1, 0].rejected) == (turn(u, "same"), "", "")
-    assert (got[2, 0].prompt, got[2, 0].chosen, got[2, 0].chosen_mask) == ("", turn(u, ""), "")
-    assert got[3, 0].prompt == turn(u, "n") and got[3, 0].chosen == turn(a, "m") and got[3, 0].rejected == ""
-    assert [got[4, p].prompt_turns for p in range(3)] == [64, 36, 0] and got[4, 2].rejected == turn(a, "v") * 2
+    assert (got[1].prompt, got[1].chosen, got[1].rejected) == (turn(u, "same"), "", "")
+    assert (got[2].prompt, got[2].chosen, got[2].chosen_mask) == ("", turn(u, ""), "")
+    assert got[3].prompt == turn(u, "n") and got[3].chosen == turn(a, "m") and got[3].rejected == ""
+    assert got[4].prompt_turns == 100 and got[4].prompt == turn(a, "t") * 100 and got[4].rejected == turn(a, "v") * 30
+    n = len(turn(a, "v"))
+    assert got[4].rejected_mask == ",".join(f"{k * n}-{k * n + n}" for k in range(30)) and len(got) == 5
     assert chat.preferences(df.limit(0), chat.neighbours(df.limit(0))).count() == 0
 
 
+def test_preferences_meet_by_place_of_turns(spark):
+    rows = [(0, 0, "user", "a"), (0, 2, "assistant", "b"), (0, 3, "user", "c"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "d"), (2, 5, "user", "x" * 2_000_000), (3, -1, "user", "x" * 2_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in chat.preferences(df, chat.neighbours(df)).collect()}
+    assert got[0].prompt_turns == 2 and "c" in got[0].chosen and "d" in got[0].rejected
+    assert got[1].prompt_turns == 1 and (got[1].chosen, got[1].rejected) == ("", "") and len(got[1].prompt) > 2_000_000
+
+
 def plain(v):
     return ("nan" if math.isnan(v) else f"{v:.9g}") if isinstance(v, float) else str(v)
 
