@@ -2,7 +2,8 @@
 
 Quality classifier: rejected documents go. Line dedup: boilerplate lines of a source are dropped from its documents; a
 document of such lines alone stays, empty. N-gram Jaccard join: of each group of near duplicates the smallest id stays.
-Mixing: documents are taken as often as the weights of their sources ask. BPE: token ids of every document of the mix.
+Mixing: documents are taken as often as the weights of their sources ask. BPE: token ids of every document of the mix,
+and what they decode to, as a digest.
 
 Null and repeated rows are treated as each operator's module says; an empty table passes through all stages.
 """
@@ -23,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.drop_boilerplate(docs.select(*COLUMNS), "source", "text")
-    n_chars = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    out = lines.drop_boilerplate(docs.select(*COLUMNS), "source", "text", counts=("n_lines", "n_dropped"))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
@@ -37,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.default_vocabulary()).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.round_trip(docs, bpe.default_vocabulary(), with_ids=True)
 
 
 STAGES = [
@@ -48,7 +49,7 @@ STAGES = [
     ("tokens", token_ids),
 ]
 
-#: The classifier can't be said in SQL; the pipeline is tested stage by stage against brute force.
+#: The classifier can't be said in SQL; run() is tested against a chain of brute-force versions of its stages.
 ORACLE_SQL = None
 
 
