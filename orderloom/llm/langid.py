@@ -6,20 +6,25 @@ n-grams, of five letters down to one, that mark word ends, and adds their log fr
 nothing. The language with the greatest sum wins; its score is the posterior probability under equal priors, from
 the mean over words so that long texts don't all score 1.
 
-Learning counts words and n-grams of a bounded sample: up to SAMPLE documents of each language, chosen by a hash of
-the id, for the LANGUAGES languages with most documents; the VOCABULARY most frequent words and GRAMS n-grams of each
-language are kept and broadcast, a fixed size whatever the corpus. Prediction is a map over whole texts.
-
-Defined results: null texts and texts without a letter are `und` with score 0; where nothing was learned every text
-is `und`; ties go to the language first by code point; repeated rows are predicted alike; other columns are not read.
+Learning counts words and n-grams of a sample: up to SAMPLE documents of each language, every one that has a text,
+chosen by a hash of the id, rows of one id being one document. The counts, and which VOCABULARY words and GRAMS n-grams
+of a language are most frequent, are DataFrame aggregates; only those reach the driver and are broadcast: a fixed size
+for each language, whatever the corpus. Log frequencies are kept as a floor for each language and what a string adds to
+it in the languages that have it. Prediction is a map over whole texts.
+
+Defined results: null texts and texts without a letter are `und` with score 0, digits and other numerals being no
+letters; where nothing was learned every text is `und`; ties go to the language first by code point; texts of any length
+are read in stretches, words of any length are words; repeated rows are predicted alike; an empty table gives an empty
+one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, join_nulls, staged, table
 
-#: Documents of each language that learning takes, languages, and words and n-grams kept of each language.
-SAMPLE, LANGUAGES, VOCABULARY, GRAMS = 800, 256, 20_000, 20_000
-#: Letters of an n-gram, at most; words that a worker keeps; characters of a text read at once.
-LONGEST, KEPT, STRETCH = 5, 300_000, 1 << 20
+#: Documents of each language that learning takes, and words and n-grams kept of each language.
+SAMPLE, VOCABULARY, GRAMS = 800, 20_000, 20_000
+#: Letters of an n-gram, at most; bytes of the rows that a worker keeps, and the longest word of these; characters of a text
+#: read at once; strings whose counts a task holds at once.
+LONGEST, KEPT_BYTES, KEPT_LENGTH, STRETCH, COUNTED = 5, 10_000_000, 64, 1 << 20, 200_000
 FOLDS, HELD = 3, 1
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of words that are no letters: numerals that aren't decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
 
 
 def grams(word: str) -> Iterator[str]:
@@ -45,70 +53,108 @@ def grams(word: str) -> Iterator[str]:
             yield marked[i : i + n]
 
 
+class Frequencies:
+    """Smoothed log frequencies of strings by language: a floor, and what is added where a language has the string."""
+
+    def __init__(self, counts: Iterable[tuple[int, str, int]], totals: list[int]):
+        """counts: (language, string, n)."""
+        got = sorted((s, x, n) for x, s, n in counts)
+        names = [s for k, (s, _, _) in enumerate(got) if not k or got[k - 1][0] != s]
+        starts = [k for k, (s, _, _) in enumerate(got) if not k or got[k - 1][0] != s]
+        self.at = {s: k for k, s in enumerate(names)}
+        self.cuts = np.array([*starts, len(got)], dtype=np.int64)
+        self.languages = np.array([x for _, x, _ in got], dtype=np.int32)
+        self.gains = np.log(np.array([n for _, _, n in got], dtype=float) / 0.1 + 1)
+        self.floor = np.log(0.1 / (np.array(totals, dtype=float) + 0.1 * max(1, len(names))))
+
+    def add(self, row: np.ndarray, string: str) -> bool:
+        """Add a string's log frequencies to a row, if it is known."""
+        if (k := self.at.get(string)) is None:
+            return False
+        own = slice(self.cuts[k], self.cuts[k + 1])
+        row += self.floor
+        row[self.languages[own]] += self.gains[own]
+        return True
+
+
 @dataclass
 class Model:
-    """Log frequencies by language: a row each for known words and n-grams."""
+    """Log frequencies of known words and n-grams."""
 
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    word_rows: np.ndarray
-    gram_rows: np.ndarray
-
-    def backoff(self, word: str) -> np.ndarray:
-        """The row of an unseen word: longest known n-grams first, each over letters not covered yet."""
-        marked, at, row = f"<{word}>", 0, np.zeros(len(self.languages))
-        while at < len(marked):
-            for n in range(min(LONGEST, len(marked) - at), 0, -1):
-                if (k := self.grams.get(marked[at : at + n])) is not None:
-                    row += self.gram_rows[k]
-                    break
-            at += n
+    words: Frequencies
+    grams: Frequencies
+
+    def row(self, word: str) -> np.ndarray:
+        """A word's log frequencies; of an unseen one, those of the longest known n-grams first, each over letters not covered yet."""
+        row = np.zeros(len(self.languages))
+        if not self.words.add(row, word):
+            marked, at = f"<{word}>", 0
+            while at < len(marked):
+                for n in range(min(LONGEST, len(marked) - at), 0, -1):
+                    if self.grams.add(row, marked[at : at + n]):
+                        break
+                at += n
         return row
 
 
-def _log_rows(counts: list[Counter], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Names of the most frequent strings of each language, and their smoothed log frequencies by language."""
-    names = sorted({s for c in counts for s, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]})
-    table = np.array([[c[s] for c in counts] for s in names], dtype=float).reshape(len(names), len(counts))
-    totals = np.array([sum(c.values()) for c in counts], dtype=float)
-    return {s: k for k, s in enumerate(names)}, np.log((table + 0.1) / (totals + 0.1 * max(1, len(names))))
+_COUNTS = "lang string, string string, n bigint"
+
+
+def _counted(pairs: Iterable[tuple[str, Iterable[str], int]]) -> Iterator[pa.RecordBatch]:
+    """(language, string, n) summed as far as a task holds them at once."""
+    held: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(held.values(), pa.int64())], ["lang", "string", "n"])
+
+    for lang, strings, n in pairs:
+        for s in strings:
+            held[lang, s] += n
+            if len(held) >= COUNTED:
+                yield out()
+                held.clear()
+    if held:
+        yield out()
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted((lang, LETTERS.findall(part), 1) for b in batches for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for part in _stretches(text.lower()))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted((lang, grams(word), n) for b in batches for lang, word, n in zip(*(b.column(k).to_pylist() for k in range(3))))
+
+
+def _frequencies(counted: DataFrame, most: int, languages: list[str]) -> Frequencies:
+    """Of the strings that are among the most frequent ones of a language, the counts in all languages."""
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "string")
+    kept = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("string").distinct()
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    number = {x: k for k, x in enumerate(languages)}
+    rows = counted.join(kept, "string").select("lang", "string", "n").toArrow()
+    found = zip((number[x] for x in rows.column("lang").to_pylist()), rows.column("string").to_pylist(), rows.column("n").to_pylist())
+    return Frequencies(found, [totals.get(x, 0) for x in languages])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from texts and languages outside the held-out fold."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (crc_fold("doc_id", FOLDS) != HELD)).withColumn("order", F.xxhash64("doc_id"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    first = Window.partitionBy("lang").orderBy("order", "doc_id")
+    ids = staged(rows.distinct(), "ids")
+    sizes = ids.groupBy("lang").count()
     # Ids under a share of the hashes, about four samples of each language, are ranked; so few rows of it meet however many it has.
     share = F.ceil(F.lit(4.0 * SAMPLE * (1 << 30)) / F.col("count"))
-    few = rows.join(F.broadcast(common), "lang").where(F.pmod("order", F.lit(1 << 30)) < share)
-    some = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE)
+    few = ids.join(sizes, "lang").where(F.pmod("order", F.lit(1 << 30)) < share)
+    first = Window.partitionBy("lang").orderBy("order", "doc_id")
+    some = staged(few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE).select("doc_id", "lang"), "sample")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
-    chosen = texts.join(F.broadcast(some.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            rows = [(lang, w, n) for lang, c in by.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
-
-    counted = chosen.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by: dict[str, Counter] = {}
-    for r in counted.toLocalIterator():
-        by.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
-    languages = sorted(by)
-    words, word_rows = _log_rows([by[x] for x in languages], VOCABULARY)
-    pieces = [Counter() for _ in languages]
-    for x, c in zip(languages, pieces):
-        for w, n in by[x].items():
-            for g in grams(w):
-                c[g] += n
-    names, gram_rows = _log_rows(pieces, GRAMS)
-    return Model(languages, words, names, word_rows, gram_rows)
+    chosen = join_nulls(texts, some, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    sums = lambda df, name: staged(df.groupBy("lang", "string").agg(F.sum("n").alias("n")), name)
+    words = sums(chosen.mapInArrow(_words, _COUNTS), "words")
+    pieces = sums(words.mapInArrow(_grams, _COUNTS), "grams")
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    return Model(languages, _frequencies(words, VOCABULARY, languages), _frequencies(pieces, GRAMS, languages))
 
 
 class Predictor:
@@ -116,34 +162,30 @@ class Predictor:
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.at = dict(self.model.words)
-        self.table = np.concatenate([self.model.word_rows, np.zeros((KEPT, len(self.model.languages)))])
-        self.used = len(self.model.word_rows)
+        self.room = max(1000, KEPT_BYTES // (8 * max(1, len(model.languages))))
+        self.table = np.zeros((self.room, len(model.languages)))
+        self.at: dict[str, int] = {}
 
     def sums(self, words: list[str]) -> np.ndarray:
         """The words' rows added up."""
         ids = [*map(self.at.get, words)]
+        more = np.zeros(len(self.model.languages))
         if None in ids:
             for k, i in enumerate(ids):
                 if i is None:
-                    ids[k] = self._add(words[k])
-        return self.table[ids].sum(axis=0)
-
-    def _add(self, word: str) -> int:
-        if (i := self.at.get(word)) is None:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((KEPT, len(self.model.languages)))])
-            i, self.used = self.used, self.used + 1
-            self.table[i] = self.model.backoff(word)
-            self.at[word] = i
-        return i
+                    word = words[k]
+                    if (known := self.at.get(word)) is None and len(word) <= KEPT_LENGTH and len(self.at) < self.room:
+                        known = self.at[word] = len(self.at)
+                        self.table[known] = self.model.row(word)
+                    if known is None:
+                        more += self.model.row(word)
+                    ids[k] = known
+            ids = [i for i in ids if i is not None]
+        return self.table[ids].sum(axis=0) + more
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if self.used > KEPT + len(self.model.word_rows):
-            self.reset()
+        if len(self.at) >= self.room:
+            self.at.clear()
         total, n = np.zeros(len(self.model.languages)), 0
         for part in _stretches(text.lower()) if text else ():
             if words := LETTERS.findall(part):
