@@ -1,6 +1,8 @@
 """BPE, quality and language operators."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -120,15 +122,131 @@ def test_language_of_mostly_null_texts(spark, monkeypatch):
     assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["en", "fr"]
 
 
-def test_language_backoff():
+def model_of(texts):
+    """A model of {language: words}."""
     from collections import Counter
 
-    words, rows = langid._log_rows([Counter(the=3), Counter(le=3)], 10)
-    grams, gram_rows = langid._log_rows([Counter(langid.grams("the")), Counter(langid.grams("le"))], 100)
-    model = langid.Model(["en", "fr"], words, grams, rows, gram_rows)
-    assert model.backoff("then").argmax() == 0 and model.backoff("les").argmax() == 1
+    names = sorted(texts)
+    words, pieces = [Counter(texts[x].split()) for x in names], [Counter(g for w in texts[x].split() for g in langid.grams(w)) for x in names]
+    of = lambda counts: langid.Frequencies([(k, s, n) for k, c in enumerate(counts) for s, n in c.items()], [sum(c.values()) for c in counts])
+    return langid.Model(names, of(words), of(pieces))
+
+
+def test_language_backoff():
+    own = langid.Predictor(model_of({"en": "the the the", "fr": "le le le"}))
+    assert own.model.row("then").argmax() == 0 and own.model.row("les").argmax() == 1
+    assert own.predict("The thex")[0] == "en" and own.predict("le lex le")[0] == "fr"
+    for text in ("12 !", "½ ²", "Ⅷ ①", "٣ 7_", "", None):
+        assert own.predict(text) == ("und", 0.0), text
+    assert own.predict("½the ²the")[0] == "en" and own.predict("the" * 200_000)[0] == "en"
+
+
+def test_language_words_that_are_not_kept(monkeypatch):
+    model = model_of({"en": "the cat sat on mat", "fr": "le chat est sur la table", "de": "die katze sitzt auf der matte"})
+    texts = ["the chat katze " * 30, "x" * 300 + " le chat", "auf der matte"]
+    want = [langid.Predictor(model).predict(t) for t in texts]
+    own = langid.Predictor(model)
+    own.room = 2
+    assert all(own.predict(t)[0] == w[0] and abs(own.predict(t)[1] - w[1]) < 1e-9 for t, w in zip(texts * 3, want * 3))
+
+
+def test_language_ids_count_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 10)
+    used = [r.id for r in spark.range(400).where(langid.crc_fold("id", 3) != 1).collect()]
+    rows = [(used[0], f"les mots {k}", "fr") for k in range(20_000)] + [(i, "un mot", "fr") for i in used[1:4]] + [(i, "the plain words", "en") for i in used[4:104]]
+    rows += [(used[104 + k], f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}", f"l{k:03d}") for k in range(150)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert model.languages == ["en", "fr", *(f"l{k:03d}" for k in range(150))]
     own = langid.Predictor(model)
-    assert own.predict("The thex")[0] == "en" and own.predict("le lex le")[0] == "fr" and own.predict("12 !")[0] == "und"
+    assert own.predict("les mots")[0] == "fr" and own.predict("wortxc")[0] == f"l{23 + 26 * 2:03d}"
+
+
+def language_brute(rows):
+    """(language, score) of each row (id, text, lang), from all documents outside the fold, which are fewer than a sample."""
+    import math
+    import zlib
+    from collections import Counter
+
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())  # noqa: E731  these texts have no other numerals
+    learned = [(t, x) for i, t, x in rows if t is not None and x is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    names = sorted({x for _, x in learned})
+    words, pieces = ({x: Counter() for x in names} for _ in range(2))
+    for t, x in learned:
+        words[x].update(letters(t))
+    for x in names:
+        for w, n in words[x].items():
+            marked = f"<{w}>"
+            for k in range(1, 6):
+                for i in range(len(marked) - k + 1):
+                    pieces[x][marked[i : i + k]] += n
+    known = []
+    for counts, most in ((words, langid.VOCABULARY), (pieces, langid.GRAMS)):
+        kept = {s for x in names for s, _ in sorted(counts[x].items(), key=lambda c: (-c[1], c[0]))[:most]}
+        totals = {x: sum(counts[x].values()) + 0.1 * len(kept) for x in names}
+        known.append((kept, {x: (lambda s, x=x, counts=counts, totals=totals: math.log((counts[x][s] + 0.1) / totals[x])) for x in names}))
+    out = []
+    for _, t, _ in rows:
+        total, n = dict.fromkeys(names, 0.0), 0
+        for w in letters(t or ""):
+            n += 1
+            if w in known[0][0]:
+                parts, of = [w], known[0][1]
+            else:
+                parts, of, marked, at = [], known[1][1], f"<{w}>", 0
+                while at < len(marked):
+                    k = next((k for k in range(min(5, len(marked) - at), 0, -1) if marked[at : at + k] in known[1][0]), 0)
+                    parts += [marked[at : at + k]] if k else []
+                    at += k or 1
+            for x in names:
+                total[x] += sum(of[x](p) for p in parts)
+        best = max(names, key=lambda x: (total[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp((total[x] - total[best]) / n) for x in names)) if n else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op7_langid(spark, SF).collect()}
+    for (i, _, _), (lang, score) in zip(rows, language_brute(rows)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9
+
+
+def net_brute(net, data):
+    """The probability of one document by loops over chunks of 512 bytes, every 256, and filters of 12 bytes, every 4."""
+    embed, taps = net.w["embed"], net.w["taps"]
+    n = max(1, -(-len(data) // 256))
+    data = bytes(data) + b"\0" * (n * 256 - len(data))
+    hidden = []
+    responses = {}
+    for at in range(0, len(data) - 8, 4):
+        x = np.concatenate([embed[b] for b in data[at : at + 12]])
+        responses[at] = sum(x[32 * t : 32 * t + 32] @ taps[:, 32 * t : 32 * t + 32] for t in range(3))
+    for start in range(0, len(data), 256):
+        inside = [r for at, r in responses.items() if start <= at < start + 512]
+        pooled = np.maximum(np.max(inside, axis=0) + net.w["bias"], 0)
+        hidden.append(np.maximum(pooled @ net.w["hidden"] + net.w["hidden_bias"], 0))
+    z = np.concatenate([np.max(hidden, axis=0), np.mean(hidden, axis=0)]) @ net.w["out"] + net.w["out_bias"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_query_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.train(docs, labels)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in quality.op1_quality(spark, SF).collect():
+        want = net_brute(net, texts[r.doc_id])
+        assert abs(r.score - want) < 1e-3 and r.predicted == int(r.score >= 0.3)
+
+
+def test_bpe_query_equals_library(spark, vocabulary):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op2_bpe(spark, SF).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert got[r.doc_id] == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
 
 
 def test_queries_keep_all_rows(spark):
