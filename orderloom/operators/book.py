@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schemas import F_LAST, F_SNAPSHOT, F_TOB, MBP1, NO_PRICE, SCALE
-from .stateful import run_ordered
+from .stateful import run_columns
 
 KEYS = ("contract", "session_date")
 
@@ -167,55 +167,51 @@ class Replay:
         self.book, self.depth = Book(repair), depth
         self.changed = self.traded = False
 
-    def __call__(self, row: dict) -> list[dict]:
-        flags = row["flags"]
-        self.changed |= self.book.apply(row["action"], row["side"], row["price"], row["size"], row["order_id"], flags)
-        self.traded |= row["action"] in ("TRADE", "FILL")
+    def __call__(self, action: str, side: str, price: int, size: int, order_id: int, flags: int) -> tuple | None:
+        self.changed |= self.book.apply(action, side, price, size, order_id, flags)
+        self.traded |= action in ("TRADE", "FILL")
         if not flags & F_LAST:
-            return []
+            return None
         emit = (self.changed or self.traded) and not flags & F_SNAPSHOT
         self.changed = self.traded = False
         if not emit:
-            return []
-        out = {**row, "price": None if row["price"] == NO_PRICE else row["price"] / SCALE}
-        for name, side in self.book.sides.items():
-            for k, (price, size, count) in enumerate(side.top(self.depth)):
-                low = name.lower()
-                out |= {f"{low}_px_{k:02d}": price / SCALE, f"{low}_sz_{k:02d}": size, f"{low}_ct_{k:02d}": count}
-        return [out]
+            return None
+        bids, asks = (side.top(self.depth) for side in self.book.sides.values())
+        none = (None, None, None)
+        pairs = zip(*(x + [none] * (self.depth - len(x)) for x in (bids, asks)))
+        return tuple(x for (bp, bs, bc), (ap, as_, ac) in pairs for x in (None if bp is None else bp / SCALE, None if ap is None else ap / SCALE, bs, as_, bc, ac))
 
 
-def book_schema(depth: int, keys: T.StructType) -> T.StructType:
-    plain = [f for f in MBP1.fields if not f.name[:3] in ("bid", "ask")]
-    levels = [T.StructField(f"{s}_{c}_{k:02d}", t) for k in range(depth) for c, t in (("px", T.DoubleType()), ("sz", T.LongType()), ("ct", T.LongType())) for s in ("bid", "ask")]
-    return T.StructType([*keys.fields, *plain, *levels])
+def level_schema(depth: int) -> T.StructType:
+    return T.StructType([T.StructField(f"{s}_{c}_{k:02d}", t) for k in range(depth) for c, t in (("px", T.DoubleType()), ("sz", T.LongType()), ("ct", T.LongType())) for s in ("bid", "ask")])
 
 
 def reconstruct(events: DataFrame, depth: int = 1, repair: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Snapshots of the best `depth` levels; parallel over keys, each key's events in order of ord."""
-    columns = ["ts_event", "ts_recv", "action", "side", "price", "flags", "sequence", "ord", "size", "order_id"]
-    own = events.select(*keys, *columns)
-    schema = book_schema(depth, T.StructType([own.schema[k] for k in keys]))
-    return run_ordered(own, keys, "ord", lambda: Replay(depth, repair), schema)
+    plain = [f for f in MBP1.fields if f.name[:3] not in ("bid", "ask")]
+    own = events.select(*keys, *(f.name for f in plain), "size", "order_id")
+    rows = run_columns(own, keys, "ord", ("action", "side", "price", "size", "order_id", "flags"), lambda: Replay(depth, repair), level_schema(depth))
+    price = F.when(F.col("price") != NO_PRICE, F.col("price") / float(SCALE))
+    return rows.withColumn("price", price).select(*keys, *(F.col(f.name).cast(f.dataType).alias(f.name) for f in plain), *level_schema(depth).fieldNames())
 
 
 def orphan_counts(events: DataFrame, repair: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """How many cancels and modifies of each key met no order: running counts, of which the last is taken."""
-    own = events.select(*keys, "ord", "action", "side", "price", "size", "order_id", "flags")
-    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("orphan_cancels", T.LongType()), T.StructField("orphan_modifies", T.LongType())])
+    reads = ("action", "side", "price", "size", "order_id", "flags")
 
     def make():
         book = Book(repair)
 
-        def step(row: dict) -> list[dict]:
+        def step(*row) -> tuple | None:
             was = book.orphan_cancels, book.orphan_modifies
-            book.apply(row["action"], row["side"], row["price"], row["size"], row["order_id"], row["flags"])
+            book.apply(*row)
             gained = book.orphan_cancels - was[0], book.orphan_modifies - was[1]
-            return [{**row, "orphan_cancels": gained[0], "orphan_modifies": gained[1]}] if any(gained) else []
+            return gained if any(gained) else None
 
         return step
 
-    return run_ordered(own, keys, "ord", make, schema).groupBy(*keys).sum("orphan_cancels", "orphan_modifies").toDF(*keys, "orphan_cancels", "orphan_modifies")
+    extra = T.StructType([T.StructField("orphan_cancels", T.LongType()), T.StructField("orphan_modifies", T.LongType())])
+    return run_columns(events.select(*keys, "ord", *reads), keys, "ord", reads, make, extra).groupBy(*keys).sum("orphan_cancels", "orphan_modifies").toDF(*keys, "orphan_cancels", "orphan_modifies")
 
 
 def consolidated(quotes: DataFrame, publishers: list[int], keys: tuple[str, ...] = KEYS) -> DataFrame:

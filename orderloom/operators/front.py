@@ -26,11 +26,12 @@ def by_volume(events: DataFrame, keys: tuple[str, ...] = ("session_date",)) -> D
 def by_expiry(events: DataFrame, keys: tuple[str, ...] = ("session_date",), strict: bool = False) -> DataFrame:
     """(keys, contract): the outright of the earliest expiry that isn't over at the group's date.
 
-    strict: don't drop expired contracts, as where two-digit years are read far into the future."""
+    Where all have expired, the first of them. strict: don't look at the date, as where two-digit years are read far
+    into the future."""
     month = F.year(F.col(keys[0])) * 12 + F.month(F.col(keys[0]))
     known = outrights(events).select(*keys, "contract").distinct().withColumn("expiry", expiry(F.col("contract"))).where("expiry is not null")
-    known = known if strict else known.where(F.col("expiry") >= month)
-    return known.groupBy(*keys).agg(F.min(F.struct("expiry", "contract")).alias("m")).select(*keys, F.col("m.contract").alias("contract"))
+    over = F.lit(False) if strict else F.col("expiry") < month
+    return known.groupBy(*keys).agg(F.min(F.struct(over.alias("over"), "expiry", "contract")).alias("m")).select(*keys, F.col("m.contract").alias("contract"))
 
 
 def front(events: DataFrame, method: str = "volume", keys: tuple[str, ...] = ("session_date",)) -> DataFrame:
@@ -42,4 +43,4 @@ def front(events: DataFrame, method: str = "volume", keys: tuple[str, ...] = ("s
 
 def front_events(events: DataFrame, method: str = "volume", keys: tuple[str, ...] = ("session_date",)) -> DataFrame:
     """The events of each group's front contract."""
-    return events.join(F.broadcast(front(events, method, keys)), [*keys, "contract"], "left_semi")
+    return events.join(front(events, method, keys), [*keys, "contract"], "left_semi")

@@ -37,7 +37,7 @@ def vendor_translate(raw: DataFrame, dataset: str) -> DataFrame:
 
     A symbol is parsed once, not once per event: distinct symbols of a session are few."""
     names = raw.select("symbol", "session_date").distinct().withColumn("parsed", parse_symbol(F.col("symbol"), F.year("session_date"))).where("parsed is not null")
-    out = raw.withColumn("_action", mapped(F.col("action"), VENDOR_ACTIONS)).where("_action is not null").join(F.broadcast(names), ["symbol", "session_date"])
+    out = raw.withColumn("_action", mapped(F.col("action"), VENDOR_ACTIONS)).where("_action is not null").join(names, ["symbol", "session_date"])
     return out.withColumns(
         {
             "venue": venue(F.lit(dataset)),
@@ -98,6 +98,13 @@ def resolve_deletes(raw: DataFrame, order: tuple[str, ...] = ("seq_num", "msg_in
     return out.drop("_epoch", "_set_price", "_set_size", "_traded", "_deleted")
 
 
+def without_order(raw: DataFrame) -> DataFrame:
+    """Messages without an order id, as resolve_deletes gives others: a delete among them has no price and size."""
+    gone = F.col("msg_type") == 332
+    side = mapped(F.col("side").cast("int"), ORDER_SIDES, "NONE")
+    return raw.withColumns({"_side": side, "price": F.when(gone, 0).otherwise(F.col("price")), "quantity": F.when(gone, 0).otherwise(F.col("quantity"))})
+
+
 def explode_trades(raw: DataFrame) -> DataFrame:
     """Exchange messages to events with sub_ord: a trade becomes TRADE, FILL without flags and CANCEL of the resting order.
 
@@ -116,8 +123,10 @@ def hkex_translate(orders: DataFrame, trades: DataFrame, session_year: int) -> D
     """Raw orders and trades to normalised events, ordered by (seq_num, msg_index, sub_ord) within an order book."""
     names = orders.select("orderbook_id", "symbol").union(trades.select("orderbook_id", "symbol")).distinct()
     names = names.withColumn("parsed", parse_hkex_symbol(F.col("symbol"), F.lit(session_year))).where("parsed is not null").select("orderbook_id", "parsed.*").dropDuplicates(["orderbook_id"])
-    merged = merge_raw(orders, trades).join(F.broadcast(names), "orderbook_id")
-    rows = explode_trades(resolve_deletes(merged))
+    merged = merge_raw(orders, trades).join(names, "orderbook_id")
+    # Messages without an order would be one window of an order book: they need no look back, and trades among them are dropped anyway.
+    own = F.coalesce(F.col("order_id"), F.lit(0)) != 0
+    rows = explode_trades(resolve_deletes(merged.where(own)).unionByName(without_order(merged.where(~own & (F.col("msg_type") != 350)))))
     event_time = F.when((F.col("source") == "trade") & (F.col("trade_time_ns") > 0), F.col("trade_time_ns")).otherwise(F.col("send_time_ns"))
     return rows.select(
         event_time.alias("ts_event"), F.col("send_time_ns").alias("ts_recv"), F.lit("HKEX").alias("venue"), "product", "contract", "action", "side",
@@ -131,12 +140,12 @@ def reconstitute_modifies(events: DataFrame, keys: tuple[str, ...] = ("contract"
 
     Right before means the row before, of all rows of the contract-day in file order."""
     by = Window.partitionBy(*keys).orderBy("ord")
+    # The exchange by contract-day, which comes first, serves the windows by sequence, too.
+    rows = events.repartition(*keys).withColumn("_pair", F.lead(F.struct("action", "order_id", "side")).over(by))
     filled = F.max(F.when(F.col("action") == "FILL", 1).otherwise(0)).over(Window.partitionBy(*keys, "sequence")) == 1
-    rows = events.withColumn("_filled", filled)
-    nxt = lambda c: F.lead(c).over(by)
-    gone = (F.col("action") == "CANCEL") & (F.col("order_id") > 0) & ~F.col("_filled") & (nxt("action") == "ADD") & (nxt("order_id") == F.col("order_id")) & (nxt("side") == F.col("side"))
+    gone = (F.col("action") == "CANCEL") & (F.col("order_id") > 0) & ~filled & (F.col("_pair.action") == "ADD") & (F.col("_pair.order_id") == F.col("order_id")) & (F.col("_pair.side") == F.col("side"))
     rows = rows.withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn("_after", F.coalesce(F.lag("_gone").over(by), F.lit(False)))
-    return rows.where(~F.col("_gone")).withColumn("action", F.when(F.col("_after"), F.lit("MODIFY")).otherwise(F.col("action"))).drop("_filled", "_gone", "_after")
+    return rows.where(~F.col("_gone")).withColumn("action", F.when(F.col("_after"), F.lit("MODIFY")).otherwise(F.col("action"))).drop("_pair", "_gone", "_after")
 
 
 def already_reconstituted(events: DataFrame) -> bool:

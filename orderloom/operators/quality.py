@@ -169,7 +169,7 @@ def sanity(events: DataFrame, tick_fp: int, share: float = 0.1, keys: tuple[str,
     The medians are one row per key, joined back by key."""
     priced = events.where(F.col("price") != NO_PRICE)
     medians = priced.groupBy(*keys).agg(F.median("price").alias("median"))
-    rows = events.join(F.broadcast(medians), list(keys), "left")
+    rows = events.join(medians, list(keys), "left")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("price") == NO_PRICE).alias("n_no_price"), F.count_if((F.col("price") != NO_PRICE) & (F.col("price") % tick_fp != 0)).alias("n_off_tick"),
         F.count_if((F.col("price") != NO_PRICE) & (F.abs(F.col("price") - F.col("median")) > share * F.col("median"))).alias("n_outliers"),

@@ -9,25 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def run_ordered(df: DataFrame, keys: tuple[str, ...], order: str, make: Callable[[], Callable[[dict], list[dict]]], schema: T.StructType) -> DataFrame:
-    """make() gives a key's machine, which takes a row and returns rows of schema.
+def run_columns(df: DataFrame, keys: tuple[str, ...], order: str, reads: tuple[str, ...], make: Callable[[], Callable], extra: T.StructType) -> DataFrame:
+    """The rows of df for which a key's machine gives a tuple, all their columns unchanged, with the tuple as columns `extra`.
 
-    Rows are shuffled by key once, sorted within their partition, and streamed: memory is one batch and one key's state,
-    not a key's rows. A key never spans partitions, so results don't depend on how many there are."""
-    columns = [f.name for f in schema.fields]
+    make() gives a key's machine, which is called with the values of `reads`; rows pass by as Arrow columns and never
+    become Python objects. Rows are shuffled by key once, sorted within their partition, and streamed: memory is one
+    batch and one key's state, not a key's rows. A key never spans partitions, so results don't depend on how many there are."""
+    names = [*df.columns, *extra.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, now, machine = to_arrow_schema(schema), None, None
+        added, now, machine = to_arrow_schema(extra), None, None
         for batch in batches:
-            out: list[dict] = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if machine is None or key != now:
+            kept, out = [], []
+            key_rows = zip(*(batch.column(k).to_pylist() for k in keys))
+            for place, (key, row) in enumerate(zip(key_rows, zip(*(batch.column(c).to_pylist() for c in reads)))):
+                if key != now:
                     now, machine = key, make()
-                out += machine(row)
-            if out:
-                yield pa.RecordBatch.from_pydict({c: [r.get(c) for r in out] for c in columns}, schema=arrow)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+                if (found := machine(*row)) is not None:
+                    kept.append(place)
+                    out.append(found)
+            if kept:
+                own = batch if len(kept) == batch.num_rows else batch.take(pa.array(kept))
+                columns = zip(*out) if len(extra) else ()
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, f.type) for c, f in zip(columns, added))], names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, T.StructType([*df.schema.fields, *extra.fields]))

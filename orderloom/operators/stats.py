@@ -39,10 +39,14 @@ def contract_stats(events: DataFrame, keys: tuple[str, ...], tick_fp: int, scale
 
 
 def product_stats(events: DataFrame, tick_fp: int) -> DataFrame:
-    """A row per day with trades: the front contract's statistics."""
-    from .front import front_events
+    """A row per day with trades: the statistics of the outright with most trades, ties to the first name.
 
-    return contract_stats(front_events(events), ("session_date", "contract"), tick_fp).where("n_trade > 0")
+    Events are read and aggregated once for all contracts; the front one is chosen among a day's few rows."""
+    from .front import outrights
+
+    every = contract_stats(outrights(events), ("session_date", "contract"), tick_fp).where("n_trade > 0")
+    place = F.row_number().over(Window.partitionBy("session_date").orderBy(F.desc("n_trade"), "contract"))
+    return every.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def cross_market(events: DataFrame, products: DataFrame) -> DataFrame:
@@ -79,6 +83,11 @@ def percentiles(df: DataFrame, column: str, at: tuple[float, ...], keys: tuple[s
     return df.groupBy(*keys).agg(*(F.percentile(column, F.lit(p)).alias(f"p{100 * p:g}".replace(".", "_")) for p in at))
 
 
+def approximate_percentiles(df: DataFrame, column: str, at: tuple[float, ...], keys: tuple[str, ...] = (), accuracy: int = 10_000) -> DataFrame:
+    """Percentiles from a summary of bounded size, for columns with very many values: ranks are off by 1 / accuracy of the rows at most."""
+    return df.groupBy(*keys).agg(*(F.percentile_approx(column, F.lit(p), F.lit(accuracy)).alias(f"p{100 * p:g}".replace(".", "_")) for p in at))
+
+
 def order_fingerprint(events: DataFrame) -> DataFrame:
     """Per order id: lifetime, events, price amplitude, rate and mean size."""
     out = events.groupBy("order_id").agg(

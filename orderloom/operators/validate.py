@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.schemas import ACTIONS, F_BAD_TS, F_SNAPSHOT, F_TOB, NO_PRICE, ORDER_ACTIONS, RESTING_ACTIONS, SIDES, has_flag
 from .filters import is_spread
-from .stateful import run_ordered
+from .stateful import run_columns
 
 KEYS = ("contract", "session_date")
 DUPLICATE_KEY = ("ts_event", "sequence", "order_id", "action", "price", "size")
@@ -68,11 +68,10 @@ class ActiveOrders:
         self.side: dict[int, str] = {}
         self.orphans = 0
 
-    def reason(self, row: dict) -> str | None:
-        action, order, side = row["action"], row["order_id"], row["side"]
+    def reason(self, action: str, order: int, side: str, flags: int) -> str | None:
         if action == "CLEAR":
             self.side.clear()
-        if action not in ORDER_ACTIONS or row["flags"] & F_TOB:
+        if action not in ORDER_ACTIONS or flags & F_TOB:
             return None
         held = self.side.get(order)
         if action == "ADD":
@@ -97,14 +96,14 @@ def validate(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     def make():
         active = ActiveOrders()
 
-        def step(row: dict) -> list[dict]:
-            if row["reject_reason"] is None:
-                row["reject_reason"] = active.reason(row)
-            return [row]
+        def step(reason: str | None, *row) -> tuple:
+            return (active.reason(*row) if reason is None else None,)
 
         return step
 
-    return run_ordered(first, keys, "ord", make, first.schema)
+    extra = T.StructType([T.StructField("_active_reason", T.StringType())])
+    rows = run_columns(first, keys, "ord", ("reject_reason", "action", "order_id", "side", "flags"), make, extra)
+    return rows.withColumn("reject_reason", F.coalesce("reject_reason", "_active_reason")).drop("_active_reason")
 
 
 def split(validated: DataFrame, mode: str = "STRICT") -> tuple[DataFrame, DataFrame]:

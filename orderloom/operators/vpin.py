@@ -58,6 +58,6 @@ def vpin_range(trades: DataFrame, pct: float = 0.05, window: int = 50) -> DataFr
     days = barred.groupBy("session_date").agg(F.count(F.lit(1)).alias("n_bars"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)
     offsets = days.select("session_date", F.coalesce(F.sum("n_bars").over(earlier), F.lit(0)).alias("offset"))
-    out = vpin(barred, window).join(F.broadcast(offsets), "session_date")
+    out = vpin(barred, window).join(offsets, "session_date")
     out = out.withColumn("bucket_id_global", F.col("offset") + F.col("bucket_id_daily")).drop("offset")
     return out.withColumn("is_warmup", F.col("bucket_id_global") < window - 1)

@@ -68,11 +68,13 @@ x AS (SELECT d.seq_num, (SELECT max(a.seq_num) FROM k a WHERE a.order_id = d.ord
 y AS (SELECT x.seq_num, x.a, d.order_id, d.s, a.price, a.quantity - coalesce((SELECT sum(t.quantity) FROM k t WHERE t.order_id = d.order_id AND t.s = d.s AND t.msg_type = 350 AND t.seq_num > x.a AND t.seq_num < x.seq_num), 0) AS rest,
   (SELECT count(*) FROM k z WHERE z.order_id = d.order_id AND z.s = d.s AND z.msg_type = 332 AND z.seq_num > x.a AND z.seq_num < x.seq_num) AS gone
   FROM x JOIN k d ON d.seq_num = x.seq_num LEFT JOIN k a ON a.seq_num = x.a)"""
-REASON = """CASE WHEN action IN ('ADD','CANCEL','MODIFY') AND side = 'NONE' THEN 'INVALID_SIDE_FOR_ACTION' WHEN action IN ('ADD','CANCEL','MODIFY') AND order_id = 0 THEN 'INVALID_ORDER_ID_ZERO'
-  WHEN action IN ('ADD','MODIFY') AND price = 9223372036854775807 THEN 'MISSING_PRICE_FOR_ACTION' WHEN action IN ('ADD','MODIFY') AND contract NOT LIKE '%CAL%' AND price = 0 THEN 'INVALID_PRICE_ZERO'
-  WHEN action IN ('ADD','MODIFY') AND contract NOT LIKE '%CAL%' AND price < 0 THEN 'INVALID_PRICE_NEGATIVE' WHEN action IN ('ADD','MODIFY') AND size = 0 THEN 'INVALID_SIZE_ZERO' END"""
+REASON = """CASE WHEN ts_event = 0 THEN 'TS_EVENT_ZERO' WHEN ts_recv = 0 THEN 'TS_RECV_ZERO' WHEN action NOT IN ('ADD','CANCEL','MODIFY','CLEAR','TRADE','FILL','NONE') THEN 'INVALID_ACTION' WHEN side NOT IN ('BID','ASK','NONE') THEN 'INVALID_SIDE'
+  WHEN action IN ('ADD','CANCEL','MODIFY') AND side = 'NONE' THEN 'INVALID_SIDE_FOR_ACTION' WHEN action IN ('ADD','CANCEL','MODIFY') AND order_id = 0 AND flags & 1 = 0 THEN 'INVALID_ORDER_ID_ZERO'
+  WHEN action IN ('ADD','MODIFY') AND flags & 1 = 0 AND price = 9223372036854775807 THEN 'MISSING_PRICE_FOR_ACTION' WHEN action IN ('ADD','MODIFY') AND flags & 1 = 0 AND contract NOT LIKE '%CAL%' AND price = 0 THEN 'INVALID_PRICE_ZERO'
+  WHEN action IN ('ADD','MODIFY') AND flags & 1 = 0 AND contract NOT LIKE '%CAL%' AND price < 0 THEN 'INVALID_PRICE_NEGATIVE' WHEN action IN ('ADD','MODIFY') AND size = 0 THEN 'INVALID_SIZE_ZERO' END"""
 DIRTY = f"""di AS (SELECT * REPLACE (CASE WHEN ord % 53 = 0 THEN 9223372036854775807 WHEN ord % 41 = 0 THEN 0 WHEN ord % 43 = 0 THEN -price ELSE price END AS price, CASE WHEN ord % 47 = 0 THEN 0 ELSE size END AS size,
-  CASE WHEN ord % 59 = 0 THEN 0 ELSE order_id END AS order_id) FROM mbo), vr AS (SELECT *, {REASON} AS reject_reason FROM di)"""
+  CASE WHEN ord % 59 = 0 THEN 0 ELSE order_id END AS order_id, CASE WHEN ord % 61 = 0 THEN 0 ELSE ts_event END AS ts_event, CASE WHEN ord % 67 = 0 THEN 0 ELSE ts_recv END AS ts_recv,
+  CASE WHEN ord % 71 = 0 THEN 'BAD' ELSE action END AS action, CASE WHEN ord % 73 = 0 THEN 'UP' ELSE side END AS side, CASE WHEN ord % 6 = 0 THEN flags | 1 ELSE flags END AS flags) FROM mbo), vr AS (SELECT *, {REASON} AS reject_reason FROM di)"""
 
 
 def _dirty(s, d):
@@ -81,6 +83,11 @@ def _dirty(s, d):
             "price": F.expr("CASE WHEN ord % 53 = 0 THEN 9223372036854775807 WHEN ord % 41 = 0 THEN 0 WHEN ord % 43 = 0 THEN -price ELSE price END"),
             "size": F.expr("CASE WHEN ord % 47 = 0 THEN 0 ELSE size END"),
             "order_id": F.expr("CASE WHEN ord % 59 = 0 THEN 0 ELSE order_id END"),
+            "ts_event": F.expr("CASE WHEN ord % 61 = 0 THEN 0 ELSE ts_event END"),
+            "ts_recv": F.expr("CASE WHEN ord % 67 = 0 THEN 0 ELSE ts_recv END"),
+            "action": F.expr("CASE WHEN ord % 71 = 0 THEN 'BAD' ELSE action END"),
+            "side": F.expr("CASE WHEN ord % 73 = 0 THEN 'UP' ELSE side END"),
+            "flags": F.expr("CASE WHEN ord % 6 = 0 THEN flags | 1 ELSE flags END"),
         }
     )
 
@@ -110,11 +117,6 @@ def _keyed_adds(s, d):
 
 CONTRACT_OF, DAY_OF = "CAST((ord - ord % 4) / 4 AS BIGINT) % 5", "CAST((ord - ord % 20000) / 20000 AS BIGINT)"
 _BASE = "(ord - CASE WHEN ord % 4 = 3 THEN 3 ELSE 0 END)"
-BOOK = f"""ev AS (SELECT DATE '2024-01-01' AS session_date, ord, CASE WHEN ord % 4 = 3 THEN -1 ELSE 1 END * (1 + {_BASE} % 5) AS delta, CASE WHEN {_BASE} % 8 < 4 THEN 'BID' ELSE 'ASK' END AS side,
-  CASE WHEN {_BASE} % 8 < 4 THEN 5990 ELSE 6010 END * 1000000000::BIGINT + ({_BASE} % 7) * 250000000 AS price FROM mbo WHERE ord < 600),
-ts AS (SELECT e.session_date, e.ord, l.side, l.price, sum(l.delta) AS size FROM ev e JOIN ev l ON l.session_date = e.session_date AND l.ord <= e.ord GROUP BY ALL HAVING sum(l.delta) > 0)
-SELECT e.ord, max(t.price) FILTER (t.side = 'BID') / 1e9::DOUBLE AS bid_px_00, min(t.price) FILTER (t.side = 'ASK') / 1e9::DOUBLE AS ask_px_00,
-  (arg_max(t.size, t.price) FILTER (t.side = 'BID'))::BIGINT AS bid_sz_00, (arg_min(t.size, t.price) FILTER (t.side = 'ASK'))::BIGINT AS ask_sz_00 FROM ev e LEFT JOIN ts t ON t.session_date = e.session_date AND t.ord = e.ord GROUP BY e.ord"""
 #: The running size of each side's seven prices: one pass over the events of a contract and day.
 LEVELS = {f"{s[0].lower()}{k}": (s, p * 1_000_000_000 + k * 250_000_000) for s, p in (("BID", 5990), ("ASK", 6010)) for k in range(7)}
 RUNNING = f"""ev AS (SELECT ord, {CONTRACT_OF} AS contract, {DAY_OF} AS session_date, CASE WHEN ord % 4 = 3 THEN -1 ELSE 1 END * (1 + {_BASE} % 5) AS delta, CASE WHEN {_BASE} % 8 < 4 THEN 'BID' ELSE 'ASK' END AS side,
@@ -227,7 +229,6 @@ QUERIES = {
         lambda s, d: validate.split(_dirty(s, d).withColumn("reject_reason", validate.structural_reason()), "LOOSE")[0].select("ord", F.col("flags").cast("long").alias("flags")),
         f"{SQL}, {DIRTY} SELECT ord, CASE WHEN reject_reason IS NULL THEN flags ELSE flags | 4 END::BIGINT AS flags FROM vr",
     ),
-    "mbp1_rebuild_small": (lambda s, d: book.reconstruct(_adds(mbo(s, d).where("ord < 600"))).select("ord", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"), f"{SQL}, {BOOK}"),
     "mbp1_rebuild_adds": (lambda s, d: book.reconstruct(_keyed_adds(s, d)).select("ord", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"), f"{SQL}, {RUNNING}"),
     "mbp1_rebuild": (lambda s, d: book.reconstruct(mbo(s, d)), None),
     "depth_rebuild": (lambda s, d: book.reconstruct(mbo(s, d), depth=5, repair=True), None),

@@ -63,8 +63,16 @@ def _depth(s, d):
     return rounded(profiles.depth(mbp1(s, d)), "bid_depth_std", "ask_depth_std")
 
 
-def _bounds(s):
-    return catalog.bounds_table(s, "ES", [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(31)])
+def _in_rth(s, d):
+    """All events in the session of their day: bounds of every day from the first to the last that there is."""
+    m = mbo(s, d)
+    first, last = m.agg(F.min("session_date"), F.max("session_date")).first()
+    days = [] if first is None else [first + dt.timedelta(days=k) for k in range((last - first).days + 1)]
+    return filters.in_rth(m, catalog.bounds_table(s, "ES", days)).select("ord", "ts_event", "contract", "action")
+
+
+#: New York's summer time, from the first to before the last day.
+SUMMER = "(session_date >= DATE '2024-03-10' AND session_date < DATE '2024-11-03') OR (session_date >= DATE '2025-03-09' AND session_date < DATE '2025-11-02')"
 
 
 def _symbols(s, d):
@@ -146,7 +154,10 @@ QUERIES = {
         lambda s, d: filters.filter_rth(mbo(s, d), "HSI", DAY).select("ord", "ts_event", "contract", "action"),
         f"{SQL} SELECT {EVENT} FROM mbo WHERE ts_recv >= {NS.format(DAY + ' 01:15:00')} AND ts_recv < {NS.format(DAY + ' 08:30:00')} AND NOT (ts_recv >= {NS.format(DAY + ' 04:00:00')} AND ts_recv < {NS.format(DAY + ' 05:00:00')})",
     ),
-    "rth_range": (lambda s, d: filters.in_rth(mbo(s, d), _bounds(s)).select("ord", "ts_event", "contract", "action"), f"{SQL} SELECT {EVENT} FROM mbo WHERE session_date < DATE '2024-02-01' AND ts_recv % 86400000000000 >= 52200000000000 AND ts_recv % 86400000000000 < 75600000000000"),
+    "rth_range": (
+        _in_rth,
+        f"{SQL} SELECT {EVENT} FROM mbo WHERE ts_recv % 86400000000000 >= CASE WHEN {SUMMER} THEN 48600000000000 ELSE 52200000000000 END AND ts_recv % 86400000000000 < CASE WHEN {SUMMER} THEN 72000000000000 ELSE 75600000000000 END",
+    ),
     "full_session_filter": (
         lambda s, d: mbo(s, d).where(catalog.full_session("FDAX", F.col("ts_recv"))).select("ord", "ts_event", "contract", "action"),
         f"{SQL} SELECT {EVENT} FROM mbo WHERE isodow(session_date) BETWEEN 1 AND 5 AND ts_recv % 86400000000000 >= 600000000000 AND ts_recv % 86400000000000 < 75600000000000",

@@ -173,7 +173,7 @@ def series(definitions: DataFrame) -> DataFrame:
 def resolved(rows: DataFrame, known: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """Rows with symbol and class; those of unknown books are dropped. Definitions of a day are a few thousand rows."""
     names = known if classes is None else known.where(F.col("class_code").isin(*classes))
-    out = rows.drop("symbol", "class_code").join(F.broadcast(names.select("orderbook_id", "symbol", "class_code")), "orderbook_id")
+    out = rows.drop("symbol", "class_code").join(names.select("orderbook_id", "symbol", "class_code"), "orderbook_id")
     return out.select(*rows.columns)
 
 
