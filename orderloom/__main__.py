@@ -1,58 +1,107 @@
-"""python -m orderloom ingest|reconstruct|stats ...: batch steps over a store's folder."""
+"""python -m orderloom ingest|batch|reconstruct|stats|overview|explore|check ...: batch steps over a store's folder."""
 
 from __future__ import annotations
 
 import argparse
+import glob
+import os
+import re
 
 from pyspark.sql import functions as F
 
 from . import session
 from .functions import catalog
-from .operators import book, normalize, validate
+from .functions.timing import as_date
+from .operators import book, normalize, quality, validate
 from .sources import omd
 from .sources.store import Store
 
 
-def ingest(spark, a) -> None:
-    """A day's binary channels to normalised and rejected events of the store."""
+def _read(spark, kind: str, path: str):
     spark.dataSource.register(omd.OmdSource)
-    read = lambda kind: spark.read.format("omd").option("kind", kind).load(a.path)
-    known = omd.series(read("series"))
-    orders, trades = (omd.resolved(read(k), known, a.classes) for k in ("orders", "trades"))
-    events = normalize.hkex_translate(orders, trades, int(a.date[:4]))
+    return spark.read.format("omd").option("kind", kind).load(path)
+
+
+def ingest_day(spark, store: Store, path: str, day, mode: str = "LOOSE", classes: list[str] | None = None) -> None:
+    """A day's binary channels to normalised and rejected events of the store; other days stay."""
+    known = omd.series(_read(spark, "series", path))
+    orders, trades = (omd.resolved(_read(spark, k, path), known, classes) for k in ("orders", "trades"))
+    events = normalize.hkex_translate(orders, trades, as_date(day).year)
     place = F.row_number().over(normalize.Window.partitionBy("contract").orderBy("seq_num", "msg_index", "sub_ord")).cast("long")
-    events = events.withColumn("ord", place).drop("seq_num", "msg_index", "sub_ord").withColumn("session_date", F.lit(a.date).cast("date"))
-    Store(spark, a.store).write_validated(validate.validate(normalize.reconstitute_modifies(events)), a.mode)
+    events = events.withColumn("ord", place).drop("seq_num", "msg_index", "sub_ord").withColumn("session_date", F.lit(str(as_date(day))).cast("date"))
+    if events.isEmpty():
+        raise ValueError(f"no events in {path}")
+    store.write_validated(validate.validate(normalize.reconstitute_modifies(events)), mode)
+
+
+def ingest(spark, a) -> None:
+    ingest_day(spark, Store(spark, a.store), a.path, a.date, a.mode, a.classes)
+
+
+def batch(spark, a) -> None:
+    """Every folder or archive under a path whose name holds a date, one job each; days that are there are left out, failures listed."""
+    store, failed = Store(spark, a.store), 0
+    there = {str(r[0]) for r in store.days().select("session_date").distinct().collect()} if store.exists("mbo") and not a.overwrite else set()
+    for path in sorted(glob.glob(os.path.join(a.path, "*"))):
+        if not (found := re.search(r"(\d{4})-?(\d{2})-?(\d{2})", os.path.basename(path))):
+            continue
+        day = "-".join(found.groups())
+        if day in there:
+            print(f"{day} there")
+            continue
+        try:
+            ingest_day(spark, store, os.path.join(path, "*") if os.path.isdir(path) else path, day, a.mode, a.classes)
+            print(f"{day} ok")
+        except Exception as e:  # one bad day doesn't stop the others
+            failed += 1
+            print(f"{day} failed: {str(e).splitlines()[0][:200]}")
+    if failed:
+        raise SystemExit(1)
 
 
 def reconstruct(spark, a) -> None:
-    """Top-of-book rows of the days that have none yet, or of all with --overwrite."""
+    """Top-of-book rows of the contract-days that have none yet, or of all with --overwrite."""
     store = Store(spark, a.store)
     events = store.load("mbo", a.first, a.last, product=a.product) if a.front else store._days(store.read("mbo").where(F.col("product") == a.product), a.first, a.last)
     if not a.overwrite:
-        try:
-            events = events.join(F.broadcast(store.missing(events)), ["contract", "session_date"], "left_semi")
-        except Exception as e:  # no quotes at all yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    names = events.select("contract", "venue", "product").distinct()
-    store.write(book.reconstruct(events).join(F.broadcast(names), "contract"), "mbp1")
+        events = events.join(store.missing(store.work_list(a.first, a.last, [a.product])), ["contract", "session_date"], "left_semi")
+    names = events.select("contract", "provider", "venue", "product").distinct()
+    store.write(book.reconstruct(events).join(names, "contract"), "mbp1")
 
 
 def stats(spark, a) -> None:
     Store(spark, a.store).product_stats(a.product, a.first, a.last).orderBy("session_date").show(1000, False)
 
 
-def main() -> None:
+def overview(spark, a) -> None:
+    Store(spark, a.store).overview(a.kind).orderBy("venue", "product", "contract").show(1000, False)
+
+
+def explore(spark, a) -> None:
+    """What a day's channels define."""
+    omd.instruments(_read(spark, "series", a.path)).orderBy("class_code").show(1000, False)
+
+
+def check(spark, a) -> None:
+    """Invariants of the quotes of days, and whether they are good enough."""
+    store = Store(spark, a.store)
+    quality.verdict(store._days(store.read("mbp1").where(F.col("product") == a.product), a.first, a.last)).orderBy("contract", "session_date").show(1000, False)
+
+
+def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="orderloom", description=__doc__)
     sub = parser.add_subparsers(required=True)
-    one = sub.add_parser("ingest")
-    one.add_argument("path", help="glob of the day's channels")
-    one.add_argument("date", help="YYYY-MM-DD")
-    one.add_argument("--classes", nargs="*")
-    one.add_argument("--mode", choices=("STRICT", "LOOSE"), default="LOOSE")
-    one.set_defaults(run=ingest)
-    for name, run in (("reconstruct", reconstruct), ("stats", stats)):
+    for name, run in (("ingest", ingest), ("batch", batch)):
+        p = sub.add_parser(name)
+        p.add_argument("path", help="glob of the day's channels" if run is ingest else "folder with a folder or archive for each day")
+        if run is ingest:
+            p.add_argument("date", help="YYYY-MM-DD")
+        else:
+            p.add_argument("--overwrite", action="store_true")
+        p.add_argument("--classes", nargs="*")
+        p.add_argument("--mode", choices=("STRICT", "LOOSE"), default="LOOSE")
+        p.set_defaults(run=run)
+    for name, run in (("reconstruct", reconstruct), ("stats", stats), ("check", check)):
         p = sub.add_parser(name)
         p.add_argument("product", choices=catalog.available_products())
         p.add_argument("first")
@@ -61,10 +110,17 @@ def main() -> None:
         if run is reconstruct:
             p.add_argument("--front", action="store_true", help="only each day's front contract")
             p.add_argument("--overwrite", action="store_true")
-    for p in sub.choices.values():
-        p.add_argument("--store", required=True)
+    p = sub.add_parser("overview")
+    p.add_argument("--kind", choices=("mbo", "mbp1", "rejected"), default="mbo")
+    p.set_defaults(run=overview)
+    p = sub.add_parser("explore")
+    p.add_argument("path")
+    p.set_defaults(run=explore)
+    for name, p in sub.choices.items():
+        if name != "explore":
+            p.add_argument("--store", required=True)
         p.add_argument("--master")
-    a = parser.parse_args()
+    a = parser.parse_args(args)
     spark = session.build(a.master)
     a.run(spark, a)
     spark.stop()
