@@ -75,14 +75,16 @@ class Frequencies:
         self.gains = np.log(np.array([n for _, _, n in got], dtype=float) / 0.1 + 1)
         self.floor = np.log(0.1 / (np.array(totals, dtype=float) + 0.1 * max(1, len(names))))
 
-    def add(self, row: np.ndarray, string: str) -> bool:
-        """Add a string's log frequencies to a row, if it is known."""
-        if (k := self.at.get(string)) is None:
-            return False
-        own = slice(self.cuts[k], self.cuts[k + 1])
-        row += self.floor
-        row[self.languages[own]] += self.gains[own]
-        return True
+    def add(self, rows: np.ndarray, places: list[int], found: list[int]) -> None:
+        """Add the log frequencies of known strings, given by number, to the rows in their places."""
+        if not found:
+            return
+        to, own = np.array(places), np.array(found)
+        rows += np.bincount(to, minlength=len(rows))[:, None] * self.floor
+        sizes = self.cuts[own + 1] - self.cuts[own]
+        ends = sizes.cumsum()
+        at = np.arange(ends[-1]) + (self.cuts[own] - ends + sizes).repeat(sizes)
+        np.add.at(rows, (to.repeat(sizes), self.languages[at]), self.gains[at])
 
 
 @dataclass
@@ -94,16 +96,30 @@ class Model:
     grams: Frequencies
 
     def row(self, word: str) -> np.ndarray:
-        """A word's log frequencies; of an unseen one, those of the longest known n-grams first, each over letters not covered yet."""
-        row = np.zeros(len(self.languages))
-        if not self.words.add(row, word):
+        """A word's log frequencies."""
+        return self.rows([word])[0]
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Words' log frequencies; of an unseen one, those of the longest known n-grams first, each over letters not covered yet."""
+        rows = np.zeros((len(words), len(self.languages)))
+        known, numbers, unseen, pieces = [], [], [], []
+        word_at, gram_at = self.words.at.get, self.grams.at.get
+        for place, word in enumerate(words):
+            if (k := word_at(word)) is not None:
+                known.append(place)
+                numbers.append(k)
+                continue
             marked, at = f"<{word}>", 0
             while at < len(marked):
                 for n in range(min(LONGEST, len(marked) - at), 0, -1):
-                    if self.grams.add(row, marked[at : at + n]):
+                    if (k := gram_at(marked[at : at + n])) is not None:
+                        unseen.append(place)
+                        pieces.append(k)
                         break
                 at += n
-        return row
+        self.words.add(rows, known, numbers)
+        self.grams.add(rows, unseen, pieces)
+        return rows
 
 
 _COUNTS = "lang string, string string, n bigint"
@@ -176,18 +192,18 @@ class Predictor:
 
     def sums(self, words: list[str]) -> np.ndarray:
         """The words' rows added up."""
-        ids = [*map(self.at.get, words)]
-        more = np.zeros(len(self.model.languages))
+        ids, more = [*map(self.at.get, words)], 0.0
         if None in ids:
-            for k, i in enumerate(ids):
-                if i is None:
-                    word = words[k]
-                    if (known := self.at.get(word)) is None and len(word) <= KEPT_LENGTH and len(self.at) < self.room:
-                        known = self.at[word] = len(self.at)
-                        self.table[known] = self.model.row(word)
-                    if known is None:
-                        more += self.model.row(word)
-                    ids[k] = known
+            times = Counter(word for word, i in zip(words, ids) if i is None)
+            new = [*times]
+            for start in range(0, len(new), self.room):
+                some = new[start : start + self.room]
+                rows = self.model.rows(some)
+                more = more + np.array([times[word] for word in some]) @ rows
+                first = len(self.at)
+                kept = [k for k, word in enumerate(some) if len(word) <= KEPT_LENGTH][: self.room - first]
+                self.table[first : first + len(kept)] = rows[kept]
+                self.at.update((some[k], first + n) for n, k in enumerate(kept))
             ids = [i for i in ids if i is not None]
         return self.table[ids].sum(axis=0) + more
 
