@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, turn
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -280,6 +280,7 @@ def _map(df: DataFrame, spec, schema: T.StructType, rows) -> DataFrame:
     arrow = [(f.name, {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.StringType(): pa.string()}.get(f.dataType, pa.list_(pa.int32()))) for f in schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe", _CODECS.clear)
         own = codec(spec.value)
         for whole in batches:
             for start in range(0, whole.num_rows, TEXTS):

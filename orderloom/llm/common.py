@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The operator whose task ran last in this Python worker, and what drops the things it keeps there.
+_LAST: dict[str, Callable[[], None] | None] = {}
+
+
+def turn(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """First call of a task in a Python worker: if another operator ran there before, its tables and caches go back to the system."""
+    if operator in _LAST:
+        return
+    for last in _LAST.values():
+        if last is not None:
+            last()
+    if _LAST:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _LAST.clear()
+    _LAST[operator] = drop
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as no column of df has."""
     while name.lower() in {c.lower() for c in df.columns}:

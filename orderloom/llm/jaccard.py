@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, input_partitions, staged, table, text_or_empty
+from .common import broadcast_if, input_partitions, staged, table, text_or_empty, turn
 from .components import components
 from .quality import column_bytes
 
@@ -214,6 +214,7 @@ def _tokens_of(bits: int):
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("jaccard", _POWERS.clear)
         ids, sets, held, packs, task = [], [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = column_bytes(batch.column(1))
@@ -247,6 +248,7 @@ def _cuts(sizes: list[int]) -> Iterator[int]:
 
 def _shared(key: tuple, group: pa.Table) -> pa.Table:
     """Of one range of tokens: back to their groups go those of two documents or more, with the number of these."""
+    turn("jaccard", _POWERS.clear)
     whole, parts = group.column("whole").to_pylist(), group.column("part").to_pylist()
     a, b, c, d, e, f = (_blobs(group.column(x)) for x in _BLOBS)
     out = [(key[0].as_py(), parts[k], True, *(x[k].tobytes() for x in (a, b, c, d, e, f))) for k in np.flatnonzero(whole).tolist()]
@@ -282,6 +284,7 @@ def _sets_of(bits: int):
     """Groups of documents again: size and digest of each, and tokens, prefixes and signature of those that can have a link."""
 
     def sets(group: pa.Table) -> pa.Table:
+        turn("jaccard", _POWERS.clear)
         ranges, whole = group.column("range").to_pylist(), group.column("whole").to_pylist()
         a, b, c, d, e, f = (_blobs(group.column(x)) for x in _BLOBS)
         head = whole.index(True)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, join_nulls, staged, table
+from .common import crc_fold, join_nulls, staged, table, turn
 
 #: Documents of each language that learning takes, and words and n-grams kept of each language.
 SAMPLE, VOCABULARY, GRAMS = 800, 20_000, 20_000
@@ -241,6 +241,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("langid", _PREDICTORS.clear)
         if name not in _PREDICTORS:
             _PREDICTORS.clear()
             _PREDICTORS[name] = Predictor(shared.value)

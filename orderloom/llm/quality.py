@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, free_name, table, text_or_empty
+from .common import crc_fold, free_name, table, text_or_empty, turn
 
 #: Rows of each label that training takes at most.
 SAMPLE = 900
@@ -219,6 +219,7 @@ def score(docs: DataFrame, net: ByteNet, text_col: str = "text", score_col: str
     source, at = docs.select(*names), names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("quality")
         own = ByteNet()
         own.w = weights.value
         for whole in batches:

@@ -34,6 +34,16 @@ def test_bpe_equals_library(vocabulary):
         assert ours.decode(want) == library.decode(want, skip_special_tokens=False) == ours.decode_printed(ids)
 
 
+def test_turns(monkeypatch):
+    from orderloom.llm import common
+
+    monkeypatch.setattr(common, "_LAST", {})
+    held = {1: "codec"}
+    for operator, kept in (("a", 1), ("a", 1), ("b", 0), ("a", 0)):
+        common.turn(operator, held.clear if operator == "a" else None)
+        assert len(held) == kept
+
+
 def test_bpe_kept_words(vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS", 3)
     few, many = bpe.Codec(open(vocabulary, "rb").read()), bpe.Codec(open(vocabulary, "rb").read())
