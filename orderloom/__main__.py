@@ -8,12 +8,14 @@ import os
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import session
 from .functions import catalog
+from .functions.schemas import MBO, normalize_types
 from .functions.timing import as_date
 from .operators import book, normalize, quality, validate
-from .sources import omd
+from .sources import dbn, omd
 from .sources.store import Store
 
 
@@ -22,16 +24,33 @@ def _read(spark, kind: str, path: str):
     return spark.read.format("omd").option("kind", kind).load(path)
 
 
-def ingest_day(spark, store: Store, path: str, day, mode: str = "LOOSE", classes: list[str] | None = None) -> None:
-    """A day's binary channels to normalised and rejected events of the store; other days stay."""
+#: Names of the vendor's files; all others are binary channels.
+VENDOR = re.compile(r"\.dbn(\.zst)?$")
+
+
+def _vendor_events(spark, path: str):
+    """Events of a vendor's files; their days are those of the receive times."""
+    spark.dataSource.register(dbn.DbnSource)
+    events = normalize.vendor_translate(spark.read.format("dbn").load(path))
+    return normalize_types(events, T.StructType([*MBO.fields, T.StructField("session_date", T.DateType())]))
+
+
+def _channel_events(spark, path: str, day, classes: list[str] | None):
+    """Events of a day's binary channels."""
     known = omd.series(_read(spark, "series", path))
     orders, trades = (omd.resolved(_read(spark, k, path), known, classes) for k in ("orders", "trades"))
     events = normalize.hkex_translate(orders, trades, as_date(day).year)
     place = F.row_number().over(normalize.Window.partitionBy("contract").orderBy("seq_num", "msg_index", "sub_ord")).cast("long")
     events = events.withColumn("ord", place).drop("seq_num", "msg_index", "sub_ord").withColumn("session_date", F.lit(str(as_date(day))).cast("date"))
+    return normalize.reconstitute_modifies(events)
+
+
+def ingest_day(spark, store: Store, path: str, day, mode: str = "LOOSE", classes: list[str] | None = None) -> None:
+    """A day's binary channels or vendor files to normalised and rejected events of the store; other days stay."""
+    events = _vendor_events(spark, path) if VENDOR.search(path) else _channel_events(spark, path, day, classes)
     if events.isEmpty():
         raise ValueError(f"no events in {path}")
-    store.write_validated(validate.validate(normalize.reconstitute_modifies(events)), mode)
+    store.write_validated(validate.validate(events), mode)
 
 
 def ingest(spark, a) -> None:

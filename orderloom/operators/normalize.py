@@ -32,15 +32,16 @@ def vendor_flags(flags: Column) -> Column:
     return F.when(f.bitwiseAND(8) > 0, f.bitwiseAND(~8 & 0xFF).bitwiseOR(F_BAD_TS)).otherwise(f).cast("short")
 
 
-def vendor_translate(raw: DataFrame, dataset: str) -> DataFrame:
+def vendor_translate(raw: DataFrame, dataset: str | None = None) -> DataFrame:
     """Landing rows (symbol, action, side as letters, session_date, ...) to events; unknown symbols and letters are dropped.
 
+    dataset: what all rows are of; without it raw has a column of that name.
     A symbol is parsed once, not once per event: distinct symbols of a session are few."""
     names = raw.select("symbol", "session_date").distinct().withColumn("parsed", parse_symbol(F.col("symbol"), F.year("session_date"))).where("parsed is not null")
     out = raw.withColumn("_action", mapped(F.col("action"), VENDOR_ACTIONS)).where("_action is not null").join(names, ["symbol", "session_date"])
     return out.withColumns(
         {
-            "venue": venue(F.lit(dataset)),
+            "venue": venue(F.col("dataset") if dataset is None else F.lit(dataset)),
             "product": F.col("parsed.product"),
             "contract": F.col("parsed.contract"),
             "action": F.col("_action"),
