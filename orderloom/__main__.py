@@ -16,7 +16,7 @@ from .functions.schemas import MBO, normalize_types
 from .functions.timing import as_date
 from .operators import book, normalize, quality, validate
 from .sources import dbn, omd
-from .sources.store import Store
+from .sources.store import Store, write_csv
 
 
 def _read(spark, kind: str, path: str):
@@ -35,9 +35,9 @@ def _vendor_events(spark, path: str):
     return normalize_types(events, T.StructType([*MBO.fields, T.StructField("session_date", T.DateType())]))
 
 
-def _channel_events(spark, path: str, day, classes: list[str] | None):
+def _channel_events(spark, path: str, day, classes: list[str] | None, futures_only: bool):
     """Events of a day's binary channels."""
-    known = omd.series(_read(spark, "series", path))
+    known = omd.series(_read(spark, "series", path), futures_only)
     orders, trades = (omd.resolved(_read(spark, k, path), known, classes) for k in ("orders", "trades"))
     events = normalize.hkex_translate(orders, trades, as_date(day).year)
     place = F.row_number().over(normalize.Window.partitionBy("contract").orderBy("seq_num", "msg_index", "sub_ord")).cast("long")
@@ -45,16 +45,16 @@ def _channel_events(spark, path: str, day, classes: list[str] | None):
     return normalize.reconstitute_modifies(events)
 
 
-def ingest_day(spark, store: Store, path: str, day, mode: str = "LOOSE", classes: list[str] | None = None) -> None:
+def ingest_day(spark, store: Store, path: str, day, mode: str = "LOOSE", classes: list[str] | None = None, futures_only: bool = False) -> None:
     """A day's binary channels or vendor files to normalised and rejected events of the store; other days stay."""
-    events = _vendor_events(spark, path) if VENDOR.search(path) else _channel_events(spark, path, day, classes)
+    events = _vendor_events(spark, path) if VENDOR.search(path) else _channel_events(spark, path, day, classes, futures_only)
     if events.isEmpty():
         raise ValueError(f"no events in {path}")
     store.write_validated(validate.validate(events), mode)
 
 
 def ingest(spark, a) -> None:
-    ingest_day(spark, Store(spark, a.store), a.path, a.date, a.mode, a.classes)
+    ingest_day(spark, Store(spark, a.store), a.path, a.date, a.mode, a.classes, a.futures)
 
 
 def batch(spark, a) -> None:
@@ -69,7 +69,7 @@ def batch(spark, a) -> None:
             print(f"{day} there")
             continue
         try:
-            ingest_day(spark, store, os.path.join(path, "*") if os.path.isdir(path) else path, day, a.mode, a.classes)
+            ingest_day(spark, store, os.path.join(path, "*") if os.path.isdir(path) else path, day, a.mode, a.classes, a.futures)
             print(f"{day} ok")
         except Exception as e:  # one bad day doesn't stop the others
             failed += 1
@@ -97,8 +97,11 @@ def overview(spark, a) -> None:
 
 
 def explore(spark, a) -> None:
-    """What a day's channels define."""
-    omd.instruments(_read(spark, "series", a.path)).orderBy("class_code").show(1000, False)
+    """What a day's channels define, by class; --csv writes a row for each order book."""
+    definitions = _read(spark, "series", a.path)
+    omd.instruments(definitions).orderBy("class_code").show(1000, False)
+    if a.csv:
+        write_csv(omd.inventory(definitions).orderBy("class_code", "symbol", "orderbook_id"), a.csv)
 
 
 def check(spark, a) -> None:
@@ -118,6 +121,7 @@ def main(args: list[str] | None = None) -> None:
         else:
             p.add_argument("--overwrite", action="store_true")
         p.add_argument("--classes", nargs="*")
+        p.add_argument("--futures", action="store_true", help="leave out what base definitions say isn't a future")
         p.add_argument("--mode", choices=("STRICT", "LOOSE"), default="LOOSE")
         p.set_defaults(run=run)
     for name, run in (("reconstruct", reconstruct), ("stats", stats), ("check", check)):
@@ -134,6 +138,7 @@ def main(args: list[str] | None = None) -> None:
     p.set_defaults(run=overview)
     p = sub.add_parser("explore")
     p.add_argument("path")
+    p.add_argument("--csv", help="folder for the whole inventory")
     p.set_defaults(run=explore)
     for name, p in sub.choices.items():
         if name != "explore":

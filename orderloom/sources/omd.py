@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import glob as globbing
 import os
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -28,7 +29,11 @@ ORDER_TYPES = (ADD, MODIFY, DELETE, CLEAR, OPENING)
 ORDER_BODY = struct.Struct("<IQiIBBHI")
 TRADE_BODY = struct.Struct("<IQiQIBBHHxxQQ")
 MOST = 2**31 - 1
-SERIES_SCHEMA = "orderbook_id long, symbol string, class_code string, msg_type int, priority int"
+SERIES_SCHEMA = "orderbook_id long, symbol string, class_code string, product_type int, decimals int, expiry string, msg_type int, priority int, channel string"
+# Names of product types, parts of the feed that channels carry.
+OPTION, FUTURE = 1, 3
+PRODUCT_TYPES = {1: "Option", 2: "Forward", 3: "Future", 4: "FRA", 5: "Cash", 10: "SyntheticBoxLeg", 11: "Combination", 14: "Warrant"}
+CHANNEL_PARTS = {"MC101": "Partition1", "MC201": "Partition2", "MC301": "Partition3", "MC151": "OAPI"}
 
 
 def record_header(data: bytes, at: int) -> tuple[int, int, int, int]:
@@ -80,11 +85,23 @@ def trade_row(body: bytes) -> tuple | None:
 
 
 def series_row(kind: int, body: bytes) -> tuple | None:
-    """(orderbook_id, symbol, class_code): the class is the symbol's first three letters."""
+    """(orderbook_id, symbol, class_code, product_type, decimals, expiry): the class is the symbol's first three letters.
+
+    Only base definitions hold the last three; the expiry is eight digits or null."""
     if len(body) < (39 if kind == SERIES else 36):
         return None
     symbol = body[4:36].split(b"\0")[0].decode("ascii", "replace").strip()
-    return struct.unpack_from("<I", body)[0], symbol, symbol[:3]
+    more = (None, None, None)
+    if kind == SERIES:
+        expiry = body[44:52].decode("ascii", "replace")
+        more = body[36], struct.unpack_from("<H", body, 37)[0], expiry if re.fullmatch("[0-9]{8}", expiry) else None
+    return struct.unpack_from("<I", body)[0], symbol, symbol[:3], *more
+
+
+def channel_of(path: str) -> str | None:
+    """The channel that a file's name begins with, if it does so."""
+    found = re.match(r"MC\d+", os.path.basename(path))
+    return found and found.group()
 
 
 class Stretch(InputPartition):
@@ -116,18 +133,18 @@ class OmdReader(DataSourceReader):
 
         if partition.member is not None:
             with zipfile.ZipFile(partition.path) as archive:
-                yield from self.rows(archive.read(partition.member), 0, None, partition.priority)
+                yield from self.rows(archive.read(partition.member), 0, None, partition.priority, channel_of(partition.member))
         elif os.path.getsize(partition.path):
             with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
                 start = partition.start if not partition.start else first_record(data, partition.start)
-                yield from self.rows(data, start, partition.end, partition.priority)
+                yield from self.rows(data, start, partition.end, partition.priority, channel_of(partition.path))
 
-    def rows(self, data, start: int, end: int | None, priority: int) -> Iterator[tuple]:
+    def rows(self, data, start: int, end: int | None, priority: int, channel: str | None) -> Iterator[tuple]:
         for sequence, sent, messages in records(data, start, end):
             for index, kind, body in messages:
                 if self.kind == "series" and kind in (SERIES, SERIES_EXTENDED):
                     if (row := series_row(kind, body)) is not None:
-                        yield (*row, kind, priority)
+                        yield (*row, kind, priority, channel)
                 elif self.kind == "orders" and kind in ORDER_TYPES:
                     if (row := order_row(kind, body)) is not None:
                         yield (sent, sequence, index, kind, row[0], None, None, *row[1:])
@@ -164,10 +181,25 @@ class OmdSource(DataSource):
         return OmdReader(self.options)
 
 
-def series(definitions: DataFrame) -> DataFrame:
-    """One row per order book: base definitions before extended ones, then the first channel."""
+def inventory(definitions: DataFrame) -> DataFrame:
+    """One row per order book with all that is known of it: base definitions before extended ones, then the first channel."""
     by = Window.partitionBy("orderbook_id").orderBy("msg_type", "priority", "symbol")
-    return definitions.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r", "msg_type", "priority")
+    named = lambda c, values: F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col(c))
+    unknown = F.concat(F.lit("Unknown("), F.col("product_type").cast("string"), F.lit(")"))
+    chosen = definitions.where("orderbook_id > 0").withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r", "priority")
+    return chosen.withColumns({
+        "product_type_name": F.coalesce(named("product_type", PRODUCT_TYPES), unknown),
+        "is_future": F.coalesce(F.col("product_type") == FUTURE, F.lit(False)),
+        "part": F.coalesce(named("channel", CHANNEL_PARTS), "channel"),
+    })
+
+
+def series(definitions: DataFrame, futures_only: bool = False) -> DataFrame:
+    """(orderbook_id, symbol, class_code), one row per order book, as inventory chooses it.
+
+    futures_only: base definitions of other products go first; extended ones don't say their product, and stay."""
+    wanted = definitions.where(F.col("product_type").isNull() | (F.col("product_type") == FUTURE)) if futures_only else definitions
+    return inventory(wanted).select("orderbook_id", "symbol", "class_code")
 
 
 def resolved(rows: DataFrame, known: DataFrame, classes: list[str] | None = None) -> DataFrame:
@@ -183,8 +215,15 @@ def write_by_class(rows: DataFrame, path: str) -> None:
 
 
 def instruments(definitions: DataFrame) -> DataFrame:
-    """Order books and distinct symbols per class: what a feed holds."""
-    return series(definitions).groupBy("class_code").agg(F.count(F.lit(1)).alias("n_books"), F.count_distinct("symbol").alias("n_symbols"), F.min("symbol").alias("first"), F.max("symbol").alias("last"))
+    """Order books and distinct symbols per class, by product type, their decimals, expiries and channels: what a feed holds."""
+    of_type = lambda *kinds: F.count_if(F.col("product_type").isin(*kinds))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    n, futures, options = F.count(F.lit(1)), F.coalesce(of_type(FUTURE), F.lit(0)), F.coalesce(of_type(OPTION), F.lit(0))
+    return inventory(definitions).groupBy("class_code").agg(
+        n.alias("n_books"), F.count_distinct("symbol").alias("n_symbols"), F.min("symbol").alias("first"), F.max("symbol").alias("last"),
+        futures.alias("n_futures"), options.alias("n_options"), (n - futures - options).alias("n_other"), joined("decimals").alias("decimals"),
+        F.min("expiry").alias("first_expiry"), F.max("expiry").alias("last_expiry"), joined("channel").alias("channels"),
+    )
 
 
 def with_printable(trades: DataFrame) -> DataFrame:
